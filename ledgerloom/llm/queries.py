@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash, toxicity
+from . import chat, hnsw, html_extract, kdtree, licenses, mixing, packing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -19,10 +19,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("toxic_passages").alias("passages"))
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return hnsw.neighbours(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A null or non-finite component stays one, so that the operator leaves its vector out.
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x) < float("inf"), F.floor(x.cast("double") * 256).cast("double")))
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", whole.alias("embedding"))
+    return kdtree.top_k(rows, rows.where("vec_id % 50 = 0")).withColumn("score", F.col("score").cast("long"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -36,8 +56,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.format_conversations(chat.fold(chat.from_turns(rows.unionByName(extra)))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_mixing, op7_packing, op8_simhash, op9_sharding)
+    f.__name__: f for f in (
+        op1_toxicity, op2_hnsw, op3_mixing, op4_html, op5_licenses, op6_kdtree, op7_packing, op8_simhash, op9_sharding, op10_chat)
 }
 
 #: Queries that SQL can express.
