@@ -1,4 +1,235 @@
-"""Queries and their SQL."""
+"""Queries over a transaction view of the events table, one or more for each operator, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import contract, normalize
+from ..operators import dedupe, incremental, summary
+from ..schemas import CONTRACT
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+START = "2024-01-20T00:00:00Z"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH t AS ({VIEW}) {sql}"
+        return f
+
+    return register
+
+
+#: Transactions made of events, in DuckDB's words.
+VIEW = """
+SELECT 'TXN-' || event_id AS transaction_id, 'ACC-' || (1000 + user_id) AS account_id, ts AS transaction_date,
+  CAST(value AS DECIMAL(18,2)) AS amount, CASE event_id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'usd' END AS currency,
+  CASE WHEN event_type IN ('purchase', 'click') THEN 'debit' ELSE 'credit' END AS transaction_type, 'm' || (event_id % 13) AS merchant_name,
+  event_type AS merchant_category, CASE WHEN event_id % 5 = 0 THEN 'pending' ELSE 'completed' END AS status,
+  CASE WHEN event_id % 11 = 0 THEN 'UK' ELSE 'GB' END AS country_code, event_id AS batch_seq, event_id, ts AS ingestion_timestamp,
+  strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date_text FROM events"""
+
+
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Spark. The session time zone is UTC for these queries: ts has none."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(
+        F.expr("'TXN-' || event_id AS transaction_id"), F.expr("'ACC-' || (1000 + user_id) AS account_id"), F.col("ts").alias("transaction_date"),
+        F.expr("CAST(value AS DECIMAL(18,2)) AS amount"), F.expr("CASE event_id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'usd' END AS currency"),
+        F.expr("CASE WHEN event_type IN ('purchase', 'click') THEN 'debit' ELSE 'credit' END AS transaction_type"), F.expr("'m' || (event_id % 13) AS merchant_name"),
+        F.col("event_type").alias("merchant_category"), F.expr("CASE WHEN event_id % 5 = 0 THEN 'pending' ELSE 'completed' END AS status"),
+        F.expr("CASE WHEN event_id % 11 = 0 THEN 'UK' ELSE 'GB' END AS country_code"), F.col("event_id").alias("batch_seq"), "event_id", F.col("ts").alias("ingestion_timestamp"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_text"))
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as a source gives it: the contract's fields as texts, and batch_seq."""
+    t = view(spark, sf_dir).withColumn("transaction_date", F.col("date_text")).withColumn("amount", F.col("amount").cast("string"))
+    return t.select(*CONTRACT["properties"], "batch_seq")
+
+
+_ENUM = {n: "[" + ", ".join(f"''{v}''" for v in r["enum"]) + "]" for n, r in CONTRACT["properties"].items() if "enum" in r}
+
+
+def _not_in(name: str) -> str:
+    values = ", ".join(f"'{v}'" for v in CONTRACT["properties"][name]["enum"])
+    return f"CASE WHEN {name} NOT IN ({values}) THEN '{name}: ''' || {name} || ''' is not one of {_ENUM[name]}' END"
+
+
+_REASON = f"""concat_ws('; ', CASE WHEN NOT regexp_matches(account_id, '^ACC-[0-9]{{4}}$') THEN 'account_id: ''' || account_id || ''' does not match ''^ACC-\\\\d{{4}}$''' END,
+  CASE WHEN amount <= 0 THEN 'amount: Decimal(''' || amount || ''') is less than or equal to the minimum of 0' END,
+  {_not_in('currency')}, {_not_in('transaction_type')}, {_not_in('merchant_category')}, {_not_in('status')},
+  CASE WHEN country_code = 'UK' THEN 'country_code: invalid assigned ISO code UK' END)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw(spark, sf_dir)
+    return rows.withColumn("error_reason", contract.reason(contract.errors(list(CONTRACT["properties"]), contract.country_codes(spark))))
+
+
+@query(f"SELECT transaction_id, nullif({_REASON}, '') AS error_reason FROM t")
+def q01_validate_errors(spark, sf_dir):
+    return _checked(spark, sf_dir).select("transaction_id", "error_reason")
+
+
+_COARSE = "account_id || '|' || CAST(CAST(transaction_date AS DATE) AS VARCHAR) || '|' || merchant_category"
+
+
+def _coarse(t: DataFrame) -> DataFrame:
+    """A key with repeats: the full one has none here."""
+    return t.withColumn("natural_key_hash", F.concat_ws("|", "account_id", F.col("transaction_date").cast("date").cast("string"), "merchant_category"))
+
+
+@query(f"SELECT transaction_id, count(transaction_id) OVER (PARTITION BY {_COARSE} ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS is_duplicate FROM t")
+def q02_flag_duplicates(spark, sf_dir):
+    t = _coarse(view(spark, sf_dir))
+    return dedupe.flag_duplicates(t, t.limit(0)).select("transaction_id", "is_duplicate")
+
+
+def _summary_sql(rows: str) -> str:
+    return f""", f AS ({rows}), tot AS (SELECT account_id, CAST(transaction_date AS DATE) AS d,
+  CAST(sum(CASE WHEN transaction_type = 'debit' THEN amount ELSE 0 END) AS DECIMAL(18,2)) AS deb, CAST(sum(CASE WHEN transaction_type = 'credit' THEN amount ELSE 0 END) AS DECIMAL(18,2)) AS cre,
+  count(*) AS n, count(DISTINCT merchant_name) AS m, string_agg(DISTINCT currency, ',' ORDER BY currency) AS cur, max(ingestion_timestamp) AS upd FROM f GROUP BY 1, 2),
+cat AS (SELECT account_id, CAST(transaction_date AS DATE) AS d, merchant_category AS c, sum(CASE WHEN transaction_type = 'debit' THEN amount ELSE 0 END) AS s FROM f GROUP BY 1, 2, 3),
+top AS (SELECT account_id, d, c FROM (SELECT *, row_number() OVER (PARTITION BY account_id, d ORDER BY s DESC, c) AS r FROM cat WHERE s > 0) WHERE r = 1)
+SELECT tot.account_id, tot.d AS transaction_date, deb AS total_debit_amount, cre AS total_credit_amount, CAST(cre - deb AS DECIMAL(18,2)) AS net_amount,
+  n AS transaction_count, m AS distinct_merchants, c AS top_category, cur AS currencies, upd AS updated_at FROM tot LEFT JOIN top ON tot.account_id = top.account_id AND tot.d = top.d"""
+
+
+_DONE = "SELECT * FROM t WHERE status = 'completed' AND event_id % 11 <> 0"
+
+
+def _included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of country UK stand in for the quarantine."""
+    t = view(spark, sf_dir).withColumn("is_duplicate", F.lit(None).cast("boolean"))
+    return summary.included(t, t.where("country_code = 'UK'"))
+
+
+@query(_summary_sql(_DONE))
+def q03_daily_summary(spark, sf_dir):
+    return summary.daily_summary(_included(spark, sf_dir))
+
+
+@query(_summary_sql(f"""SELECT x.* FROM ({_DONE}) x SEMI JOIN (SELECT DISTINCT account_id, CAST(transaction_date AS DATE) AS d FROM ({_DONE}) WHERE transaction_date > TIMESTAMP '2024-01-20') k
+  ON x.account_id = k.account_id AND CAST(x.transaction_date AS DATE) = k.d"""))
+def q04_daily_summary_incremental(spark, sf_dir):
+    return summary.changed_summary(_included(spark, sf_dir), START)
+
+
+_KEY = r"""account_id || '|' || date_text || '|' || regexp_replace(CAST(CAST(amount AS DECIMAL(38,10)) AS VARCHAR), '(\.[0-9]*?[0-9])0*$', '\1') || '|' || currency || '|' || transaction_type || '|' || merchant_name || '|' || merchant_category || '|' || status || '|' || country_code"""
+
+
+@query(f"SELECT transaction_id, {_KEY} AS natural_key, sha256({_KEY}) AS natural_key_hash FROM t")
+def q05_natural_key_hash(spark, sf_dir):
+    return raw(spark, sf_dir).withColumn("natural_key", normalize.natural_key()).select("transaction_id", "natural_key", F.sha2("natural_key", 256).alias("natural_key_hash"))
+
+
+@query(f"""SELECT count(*) AS input_records, count(*) FILTER (e = '') AS valid_records, count(*) FILTER (e <> '') AS quarantine_records,
+  count(*) FILTER (dup) AS duplicate_records, max(transaction_date) AS watermark_value FROM (SELECT *, {_REASON} AS e,
+  count(transaction_id) OVER (PARTITION BY {_COARSE} ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS dup FROM t)""")
+def q06_run_counts(spark, sf_dir):
+    t = _coarse(view(spark, sf_dir))
+    flagged = dedupe.flag_duplicates(t, t.limit(0)).select("transaction_id", "is_duplicate", "transaction_date")
+    reasons = _checked(spark, sf_dir).select("transaction_id", "error_reason")
+    return summary.run_counts(flagged.join(reasons, "transaction_id"))
+
+
+@query("SELECT transaction_id FROM t WHERE NOT EXISTS (SELECT 1 FROM t q WHERE q.country_code = 'UK' AND q.transaction_id = t.transaction_id)")
+def q07_anti_join_quarantine(spark, sf_dir):
+    t = view(spark, sf_dir)
+    return t.join(t.where("country_code = 'UK'").select("transaction_id"), "transaction_id", "left_anti").select("transaction_id")
+
+
+@query(f"""SELECT transaction_id, EXISTS (SELECT 1 FROM (SELECT *, {_COARSE} AS k FROM t) x WHERE x.event_id % 2 = 0 AND x.k = y.k)
+  AND event_id % 2 = 1 OR n > 0 AS is_duplicate FROM (SELECT *, {_COARSE} AS k, count(transaction_id) OVER (PARTITION BY {_COARSE} ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM t) y""")
+def q08_existing_duplicates(spark, sf_dir):
+    t = _coarse(view(spark, sf_dir))
+    return dedupe.flag_duplicates(t, t.where("event_id % 2 = 0")).select("transaction_id", "is_duplicate")
+
+
+@query("SELECT transaction_id FROM t WHERE transaction_date > TIMESTAMP '2024-01-20'")
+def q09_past_mark_exclusive(spark, sf_dir):
+    return incremental.past_mark(view(spark, sf_dir), START, False).select("transaction_id")
+
+
+@query("SELECT transaction_id FROM t WHERE transaction_date >= TIMESTAMP '2024-01-19 18:00:00'")
+def q10_past_mark_inclusive(spark, sf_dir):
+    from datetime import datetime, timezone
+
+    start = incremental.start_value(datetime(2024, 1, 20, tzinfo=timezone.utc), 6)
+    return incremental.past_mark(view(spark, sf_dir), start, True).select("transaction_id")
+
+
+@query("""SELECT transaction_id FROM t WHERE CASE WHEN event_id % 7 = 0 THEN event_id % 2 = 1 ELSE transaction_date > TIMESTAMP '2024-01-20' END""")
+def q11_replay_guard(spark, sf_dir):
+    t = view(spark, sf_dir).withColumn("transaction_date", F.when(F.col("event_id") % 7 != 0, F.col("transaction_date")))
+    return incremental.past_mark(t, START, False, t.where("event_id % 2 = 0").select("transaction_id")).select("transaction_id")
+
+
+@query("""SELECT transaction_id, CASE WHEN event_id % 3 = 0 THEN amount + 1 ELSE amount END AS amount FROM t WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
+def q12_upsert_result(spark, sf_dir):
+    t = view(spark, sf_dir).select("transaction_id", "amount", "event_id")
+    old, new = t.where("event_id % 2 = 0"), t.where("event_id % 3 = 0").withColumn("amount", (F.col("amount") + 1).cast("decimal(18,2)"))
+    merged = old.join(new.select("transaction_id"), "transaction_id", "left_anti").unionByName(new)
+    return merged.select("transaction_id", F.col("amount").cast("decimal(19,2)").alias("amount"))
+
+
+@query("""SELECT account_id, merchant_category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY s DESC, merchant_category) AS r
+  FROM (SELECT account_id, merchant_category, CAST(sum(amount) / 100 AS BIGINT) AS s FROM t WHERE transaction_type = 'debit' GROUP BY 1, 2)) WHERE r = 1""")
+def q13_top_category(spark, sf_dir):
+    spend = view(spark, sf_dir).where("transaction_type = 'debit'").groupBy("account_id", "merchant_category").agg(F.round(F.sum("amount").cast("double") / 100).cast("long").alias("s"))
+    return spend.groupBy("account_id").agg(F.min_by("merchant_category", F.struct(-F.col("s"), "merchant_category")).alias("top_category"))
+
+
+@query("SELECT account_id, transaction_date AS last_successful_transaction_date FROM t ORDER BY transaction_date DESC, event_id DESC LIMIT 1")
+def q14_latest_state(spark, sf_dir):
+    return view(spark, sf_dir).orderBy(F.col("transaction_date").desc(), F.col("event_id").desc()).limit(1).select("account_id", F.col("transaction_date").alias("last_successful_transaction_date"))
+
+
+@query(f"SELECT max(transaction_date) AS max_transaction_date FROM ({_DONE}) WHERE transaction_date > TIMESTAMP '2024-01-20'")
+def q15_max_mark(spark, sf_dir):
+    return summary.past(_included(spark, sf_dir), START).agg(F.max("transaction_date").alias("max_transaction_date"))
+
+
+@query(f"SELECT count(*) AS computed_rows FROM (SELECT DISTINCT account_id, CAST(transaction_date AS DATE) FROM ({_DONE}) WHERE transaction_date > TIMESTAMP '2024-01-20')")
+def q16_changed_group_count(spark, sf_dir):
+    return summary.group_count(summary.past(_included(spark, sf_dir), START))
+
+
+@query("SELECT transaction_id FROM t WHERE event_id % 2 = 0 UNION SELECT transaction_id FROM t WHERE event_id % 3 = 0")
+def q17_id_union(spark, sf_dir):
+    t = view(spark, sf_dir)
+    return incremental.known_ids(t.where("event_id % 2 = 0"), t.where("event_id % 3 = 0"))
+
+
+@query("""SELECT transaction_id, date_text AS normal, CAST(strptime(date_text, '%Y-%m-%dT%H:%M:%SZ') AS TIMESTAMP) AS parsed FROM t""")
+def q18_date_text(spark, sf_dir):
+    text = F.expr("CASE event_id % 4 WHEN 0 THEN replace(replace(date_text, 'T', ' '), 'Z', '') WHEN 1 THEN replace(date_text, 'Z', '+00:00') WHEN 2 THEN '  ' || date_text || ' ' ELSE date_text END")
+    t = view(spark, sf_dir).select("transaction_id", normalize.date_text(text).alias("normal"))
+    return t.withColumn("parsed", normalize.timestamp(F.col("normal")).cast("timestamp_ntz"))
+
+
+@query("SELECT transaction_id, CAST(round(CAST(CAST(event_id AS VARCHAR) || '.' || (event_id % 1000 + 1000) AS DECIMAL(18,4)), 2) AS DECIMAL(18,2)) AS amount FROM t")
+def q19_amount(spark, sf_dir):
+    return view(spark, sf_dir).select("transaction_id", normalize.amount(F.expr("CAST(event_id AS STRING) || '.' || (event_id % 1000 + 1000)")).alias("amount"))
+
+
+@query("SELECT account_id, transaction_date, amount FROM t WHERE transaction_date BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' ORDER BY account_id, transaction_date")
+def q20_extract_between(spark, sf_dir):
+    at = F.col("transaction_date")
+    return view(spark, sf_dir).where(at.between(F.expr("TIMESTAMP_NTZ '2024-01-10'"), F.expr("TIMESTAMP_NTZ '2024-01-12'"))).orderBy("account_id", "transaction_date").select("account_id", "transaction_date", "amount")
+
+
+@query("SELECT account_id, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies, count(DISTINCT merchant_name) AS merchants FROM t GROUP BY 1")
+def q21_currency_list(spark, sf_dir):
+    t = view(spark, sf_dir)
+    return t.groupBy("account_id").agg(F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"), F.countDistinct("merchant_name").alias("merchants"))
