@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_cut, tune
+from . import resemblance
+from .common import cut, tune
 from .components import connected_components
 
 BITS = 64
@@ -45,16 +46,27 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(2 * total > len(all_), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3) -> DataFrame:
-    """keep's columns and fp, the fingerprint as a signed 64-bit number."""
+SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+
+
+def with_fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, sketches: bool = False) -> DataFrame:
+    """keep's columns and fp, the fingerprint as a signed 64-bit number, and on demand s, a sketch of the same shingles."""
     tune(docs.sparkSession)
     frame = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField("fp", T.LongType()), *[T.StructField("s", SKETCH)] * sketches])
+    sketch_type = pa.struct([("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            made = np.array([fingerprint(shingle_hashes(x.as_py(), width)) for x in part.column(len(keep))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(made.view(np.int64))], names=[*keep, "fp"])
+            made, drawn = [], []
+            for x in part.column(len(keep)):
+                hashes = shingle_hashes(x.as_py(), width)
+                made.append(fingerprint(hashes))
+                if sketches:
+                    got = resemblance.sketch(hashes)
+                    drawn.append(got and dict(zip(SKETCH.names, got)))
+            arrays = [*(part.column(i) for i in range(len(keep))), pa.array(np.array(made, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(drawn, sketch_type)] * sketches], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
@@ -278,31 +290,34 @@ def _block(used: F.Column, i: F.Column, count: int) -> F.Column:
 # ---- operator
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
     """(id, fp, component): every row of docs with its fingerprint and its component, named by the smallest id in it.
 
     Fingerprints link when at most distance bits differ; empty and null texts have fingerprint 0 and link like any
-    other. Equal fingerprints count once in the search, so groups of exact copies cost one probe. Rows with a null
-    id stay; a component of such rows alone has a null name. Repeated rows stay repeated. Other columns are ignored.
+    other. Equal fingerprints count once in the search, so groups of exact copies cost one probe. With `similarity`,
+    texts whose sets of shingles are that similar link, too (one text stands for those of equal fingerprint). Rows with a null id stay; a component of such rows alone has a null name. Repeated rows stay
+    repeated. Other columns are ignored.
     """
-    prints = cut(with_fingerprints(docs, text, [id_], width))
-    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least")))
+    prints = cut(with_fingerprints(docs, text, [id_], width, similarity is not None))
+    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least"), *[F.min("s").alias("s")] * (similarity is not None)))
     links = similar_links(fps.select("fp"), distance)
+    if similarity is not None:
+        links = links.union(resemblance.similar_texts(fps.select(F.col("fp").alias("node"), "s.*"), similarity))
     of = connected_components(links).withColumnsRenamed({"node": "fp"})
-    linked = of.join(fps, "fp")
+    linked = of.join(fps.select("fp", "least"), "fp")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select("fp", "name")
     alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("name"))
-    return prints.join(cut(named.unionByName(alone)), "fp").select(F.col(id_), "fp", F.col("name").alias("component"))
+    return prints.select(id_, "fp").join(cut(named.unionByName(alone)), "fp").select(F.col(id_), "fp", F.col("name").alias("component"))
 
 
-def representatives(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 3, distance: int = 3) -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 5, distance: int = 3, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs without their near copies: of each component one row with its smallest id stays.
 
     Of rows that repeat that id, one stays. Rows without an id stay, for they have no name to be kept by.
     """
-    found = near_duplicates(docs, text, id_, width, distance)
+    found = near_duplicates(docs, text, id_, width, distance, similarity)
     gone = found.where(F.col(id_) != F.col("component")).select(F.col(id_).alias("__gone")).distinct()
-    repeated = docs.groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    unique = docs.groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     kept = docs.join(gone, F.col(f"`{id_}`") == F.col("__gone"), "left_anti")
-    return kept if repeated else kept.where(F.col(id_).isNull()).unionByName(kept.where(F.col(id_).isNotNull()).dropDuplicates([id_]))
+    return kept if unique else kept.where(F.col(id_).isNull()).unionByName(kept.where(F.col(id_).isNotNull()).dropDuplicates([id_]))

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import chat, components, hnsw, html_extract, kdtree, licenses, mixing, packing, queries, sharding, simhash, toxicity
+from ledgerloom.llm import chat, components, hnsw, html_extract, kdtree, licenses, mixing, packing, queries, resemblance, sharding, simhash, toxicity
 from ledgerloom.llm.vectors import unpack_arrays
 
 SF = "/root/testdata/sf0.001"
@@ -347,6 +347,57 @@ def test_links_connect_what_brute_force_connects(spark, limit):
     assert {x: find(x) for x in fps} == slow_components(fps, fps)
 
 
+def slow_jaccard(a, b, width=5):
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """(id, text) of texts with copies about 0.93 and 0.87 and under 0.75 similar, those of one base hanging together through it alone."""
+    rng = np.random.default_rng(11)
+    out = []
+    for base in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        out.append(words)
+        for edits in (2, 4, 10, 20, 40):
+            copy = list(words)
+            for at in rng.choice(300, edits, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**9)}"
+            out.append(copy)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("limit", [3, 32_768])
+def test_resemblance_links_what_brute_force_links(spark, edited, limit):
+    same = {(i, j): slow_jaccard(a, b) for (i, a), (j, b) in combinations(edited, 2)}
+    frame = simhash.with_fingerprints(spark.createDataFrame(edited, "id long, text string"), "text", ["id"], 5, True).select(F.col("id").alias("node"), "s.*")
+    links = [tuple(sorted(r)) for r in resemblance.similar_texts(frame, 0.8, limit).collect()]
+    assert all(same[x] > 0.74 for x in links)  # four standard deviations of a sketch
+    assert reached(edited, links) == reached(edited, [x for x, s in same.items() if s >= 0.86 or x in links])
+    assert sum(s >= 0.86 for s in same.values()) >= 70
+
+
+def reached(rows, links):
+    name = {i: i for i, _ in rows}
+    find = lambda x: x if name[x] == x else find(name[x])
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        name[high] = low
+    return {i: find(i) for i in name}
+
+
+def test_edited_copies_go_and_others_stay(spark, edited):
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(edited, "doc_id long, text string")).collect()}
+    for at in range(0, len(edited), 6):
+        base = [slow_jaccard(edited[at][1], edited[at + k][1]) for k in range(1, 6)]
+        assert at in kept and all((at + k + 1 in kept) == (s < 0.8) for k, s in enumerate(base) if abs(s - 0.8) > 0.06)
+
+
 def test_plans_cover_every_pair():
     rng = np.random.default_rng(5)
     for rows in (10, 10**6, 10**10):
@@ -449,8 +500,10 @@ def test_pipeline_against_its_stages(spark, docs):
     columns = docs.columns.tolist()
     assert all(steps[n].columns.tolist() == columns for n in ("toxicity", "simhash", "mixing"))
     clean = steps["toxicity"]
-    named = slow_components(clean.doc_id.tolist(), [slow_fingerprint(t) for t in clean.text])
-    assert sorted(steps["simhash"].doc_id) == sorted(set(named.values()))
+    fps = [slow_fingerprint(t, 5) for t in clean.text]
+    texts = list(zip(clean.doc_id, clean.text))
+    links = [(a, b) for ((a, x), p), ((b, y), q) in combinations(zip(texts, fps), 2) if (p ^ q).bit_count() <= 3 or slow_jaccard(x, y) >= 0.8]
+    assert sorted(steps["simhash"].doc_id) == sorted(set(reached(texts, links).values()))
     assert max(Counter(steps["mixing"].doc_id).values()) <= 3 and set(steps["mixing"].doc_id) <= set(steps["simhash"].doc_id)
     packed = steps["packing"]
     assert Counter(packed[packed.start == 0].doc_id) == Counter(steps["mixing"].doc_id)
