@@ -16,7 +16,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: one of those with the group's smallest doc_id."""
+    """One row of each group of near copies stays: one of those with the group's smallest doc_id. Texts link by SimHash of five-word shingles, or where these are 0.8 alike."""
     return simhash.representatives(docs)
 
 
