@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, html_extract, kdtree, licenses, mixing, packing, sharding, simhash, toxicity
+from . import chat, hnsw, html_extract, kdtree, licenses, mixing, packing, sharding, simhash, sql, toxicity
 from .common import table
 
 
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": sql.LICENSES, "op6_kdtree": sql.TOP_K, "op10_chat": sql.CHAT}

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from oracle import rows_of, rows_of_sql, tables
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -40,6 +41,12 @@ def sf_dir(tmp_path, **tables):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    found = rows_of(queries.QUERIES[name](spark, SF))
+    assert found[1] and found == rows_of_sql(tables(SF), queries.ORACLE_SQL[name])
+
+
 # ---- 1 toxicity
 
 
