@@ -1,4 +1,4 @@
-"""Links between texts of high resemblance: MinHash bands retrieve them, longer sketches verify them.
+"""Links between texts of high resemblance: MinHash bands retrieve them, longer sketches sift them, their sets of shingles decide.
 
 A stage on five-word shingles needs this beside SimHash: at a Jaccard similarity of 0.8 two 64-bit fingerprints differ
 in 10 bits on average, where no pigeonhole allocation over 64 bits is selective.
@@ -6,7 +6,8 @@ in 10 bits on average, where no pigeonhole allocation over 64 bits is selective.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-HASHES, ROWS, BANDS = 1024, 4, 9  # 9 bands of 4 rows: a pair at 0.8 meets in one with probability 0.99, at 0.9 with 0.9999
+HASHES, ROWS, BANDS = 1024, 4, 16  # 16 bands of 4 rows: a pair at 0.8 meets in one with probability 0.9998
+MARGIN = 0.07  # sketches sift at so much less than the similarity asked for: 4.6 standard deviations at 0.8
+SPOOL_BYTES, COMPARE = 64 << 20, 1 << 20  # a family's sets go to a local file beyond so many bytes; so many hashes are compared at once
 REDEAL_ROWS, REDEAL_KEYS = 2, 16  # a bucket over the limit is dealt out by 16 keys of 2 further rows: 0.8 meets with probability 1 - 1e-7
 _random = np.random.Generator(np.random.PCG64(8))
 _MASKS = _random.integers(0, 1 << 32, HASHES, np.uint32)
@@ -54,13 +57,15 @@ def alike(rest: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
     return differ <= (1 - similarity) * 0.75 * HASHES
 
 
-def links_of_bucket(nodes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """Links that join up every alike pair in a bucket: a breadth-first search over those not yet reached."""
+def links_of_bucket(nodes: np.ndarray, sketches: np.ndarray, similarity: float, verify: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Links that join up every alike pair in a bucket, on demand of those that verify confirms: a breadth-first search over those not yet reached."""
     while len(nodes) > 1:
         queue, nodes, sketches = [(nodes[0], sketches[0])], nodes[1:], sketches[1:]
         while queue and len(nodes):
             node, at = queue.pop()
             hit = alike(sketches, at, similarity)
+            if verify and hit.any():
+                hit[hit] = verify(int(node), nodes[hit])
             if hit.any():
                 for x, s in zip(nodes[hit], sketches[hit]):
                     yield int(node), int(x)
@@ -68,14 +73,27 @@ def links_of_bucket(nodes: np.ndarray, sketches: np.ndarray, similarity: float)
                 nodes, sketches = nodes[~hit], sketches[~hit]
 
 
-def _search(similarity: float):
+def families_of_bucket(nodes: np.ndarray, sketches: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """(family, node): what alike pairs of a bucket connect. Equal families of several buckets have one name."""
+    root: dict[int, int] = {}
+    for a, b in links_of_bucket(nodes, sketches, similarity):
+        root[b] = root.setdefault(a, a)
+    members: dict[int, list[int]] = {}
+    for x, r in root.items():
+        members.setdefault(r, []).append(x)
+    for family in members.values():
+        name = xxhash.xxh64_intdigest(np.sort(np.array(family, np.int64)).tobytes()) - (1 << 63)
+        yield from ((name, x) for x in family)
+
+
+def _search(similarity: float, of_bucket: Callable):
     """For mapInArrow over (bucket, node, sketch) sorted by bucket: a task holds one bucket and one batch."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sketches = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, HASHES // 32), np.uint64)
 
         def settle(ends: list[int]) -> Iterator[pa.RecordBatch]:
-            found = [pair for a, b in zip(ends, ends[1:]) if b - a > 1 for pair in links_of_bucket(nodes[a:b], sketches[a:b], similarity)]
+            found = [pair for a, b in zip(ends, ends[1:]) if b - a > 1 for pair in of_bucket(nodes[a:b], sketches[a:b], similarity)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -91,26 +109,94 @@ def _search(similarity: float):
     return run
 
 
-def similar_texts(nodes: DataFrame, similarity: float = 0.8, bucket_limit: int = 32_768) -> DataFrame:
+class Sets:
+    """Sets of 64-bit hashes by position, in memory up to SPOOL_BYTES and then in a local file without a name."""
+
+    def __init__(self) -> None:
+        self.file, self.ends = tempfile.SpooledTemporaryFile(SPOOL_BYTES), [0]
+
+    def add(self, hashes: list[int]) -> None:
+        self.file.seek(self.ends[-1] * 8)
+        found = np.unique(np.array(hashes, np.uint64))
+        self.file.write(found.tobytes())
+        self.ends.append(self.ends[-1] + len(found))
+
+    def get(self, i: int) -> np.ndarray:
+        self.file.seek(self.ends[i] * 8)
+        return np.frombuffer(self.file.read((self.ends[i + 1] - self.ends[i]) * 8), np.uint64)
+
+    def alike(self, similarity: float, at: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have a Jaccard similarity of at least that with one; none of them is empty."""
+        mine, ends = self.get(at), np.array(self.ends)
+        sizes = ends[others + 1] - ends[others]
+        out = np.minimum(sizes, len(mine)) / np.maximum(sizes, len(mine)) >= similarity
+        fit = np.flatnonzero(out)
+        for few in np.split(fit, np.flatnonzero(np.diff(np.cumsum(sizes[fit]) // COMPARE)) + 1):
+            if len(few):
+                theirs = np.concatenate([self.get(i) for i in others[few]])
+                place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                both = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.cumsum(sizes[few]) - sizes[few])
+                out[few] = both / (len(mine) + sizes[few] - both) >= similarity
+        return out
+
+
+def _verify(similarity: float, hashes_of: Callable[[str], list[int]]):
+    """For mapInArrow over (family, node, sketch, text) sorted by family: a task holds the sketches of one family, and its sets in a spool."""
+
+    def links(nodes: list[int], sketches: list[bytes], sets: Sets) -> list[tuple[int, int]]:
+        drawn = np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, HASHES // 32)
+        with sets.file:
+            found = list(links_of_bucket(np.arange(len(nodes)), drawn, similarity - MARGIN, lambda at, others: sets.alike(similarity, at, others)))
+        return [(nodes[a], nodes[b]) for a, b in found]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, nodes, sketches, sets = None, [], [], Sets()
+        for part in parts:
+            found = []
+            for name, node, drawn, text in zip(*(part.column(i) for i in range(4))):
+                if name.as_py() != family:
+                    found += links(nodes, sketches, sets)
+                    family, nodes, sketches, sets = name.as_py(), [], [], Sets()
+                nodes.append(node.as_py())
+                sketches.append(drawn.as_py())
+                sets.add(hashes_of(text.as_py()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+        found = links(nodes, sketches, sets)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return run
+
+
+def similar_texts(nodes: DataFrame, similarity: float = 0.8, bucket_limit: int = 32_768, texts: DataFrame | None = None, hashes_of: Callable[[str], list[int]] | None = None) -> DataFrame:
     """(a, b): links that connect the nodes(node, bands, more, sketch) whose sets are `similarity` alike or more.
 
-    Likeness is read off the sketches, with a standard deviation of 0.015 at 0.8. Only rows that share a bucket move
-    with their sketch. A bucket is searched in one task up to bucket_limit rows; a larger one is dealt out again by
-    the rows that its band does not use, level by level; at the last level, whose rows agree in ten least hashes, a
-    bucket is held whole, 264 bytes a row. Null sketches link nothing.
+    With texts(node, text) and hashes_of, which gives the hashes of a text, the sets themselves decide: sketches
+    only gather the families, MARGIN wider, in which they are compared. Without, likeness is read off the sketches,
+    with a standard deviation of 0.015 at 0.8. Only rows that share a bucket move with their sketch, only members of
+    families with their text. A bucket is searched in one task up to bucket_limit rows; a larger one is dealt out
+    again by the rows that its band does not use, level by level; at the last level, whose rows agree in ten least
+    hashes, a bucket is held whole, 264 bytes a row. Null sketches link nothing.
     """
     with_key = nodes.where("sketch is not null")
     level = with_key.select("node", F.explode("bands").alias("bucket"))
+    search = _search(similarity, links_of_bucket) if texts is None else _search(similarity - MARGIN, families_of_bucket)
     links = None
     for depth in range(4):
         level = cut(level) if depth else level
         sizes = cut(level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
         small = sizes if depth == 3 else sizes.where(F.col("n") <= bucket_limit)
         rows = level.join(small.select("bucket"), "bucket").join(with_key.select("node", "sketch"), "node").select("bucket", "node", "sketch")
-        here = cut(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_search(similarity), "a long, b long").distinct())
+        here = cut(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(search, "a long, b long").distinct())
         links = here if links is None else links.union(here)
         large = sizes.where(F.col("n") > bucket_limit)
         if depth == 3 or large.isEmpty():
-            return links
+            break
         wide = level.join(large.select("bucket"), "bucket").join(with_key.select("node", "more"), "node")
         level = wide.select("node", F.explode(F.transform("more", lambda k: F.xxhash64("bucket", k))).alias("bucket")).distinct()
+    if texts is None:
+        return links
+    members = links.toDF("family", "node").distinct().join(with_key.select("node", "sketch"), "node").join(texts, "node")
+    spread = members.select("family", "node", "sketch", "text").repartition("family").sortWithinPartitions("family", "node")
+    return cut(spread.mapInArrow(_verify(similarity, hashes_of), "a long, b long").distinct())

@@ -298,11 +298,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", wi
     texts whose sets of shingles are that similar link, too (one text stands for those of equal fingerprint). Rows with a null id stay; a component of such rows alone has a null name. Repeated rows stay
     repeated. Other columns are ignored.
     """
-    prints = cut(with_fingerprints(docs, text, [id_], width, similarity is not None))
-    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least"), *[F.min("s").alias("s")] * (similarity is not None)))
+    resembling = similarity is not None
+    frame = docs.select(id_, text, F.monotonically_increasing_id().alias("row")) if resembling else docs  # cut() fixes the numbers
+    prints = cut(with_fingerprints(frame, text, [id_, *["row", text] * resembling], width, resembling))
+    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least"), *[F.min(F.struct("s", "row")).alias("one")] * resembling))
     links = similar_links(fps.select("fp"), distance)
-    if similarity is not None:
-        links = links.union(resemblance.similar_texts(fps.select(F.col("fp").alias("node"), "s.*"), similarity))
+    if resembling:
+        texts = fps.select(F.col("fp").alias("node"), "one.row").join(prints.select("row", F.col(text).alias("text")), "row").select("node", "text")
+        nodes = fps.select(F.col("fp").alias("node"), "one.s.*")
+        links = links.union(resemblance.similar_texts(nodes, similarity, texts=texts, hashes_of=lambda x: shingle_hashes(x, width)))
     of = connected_components(links).withColumnsRenamed({"node": "fp"})
     linked = of.join(fps.select("fp", "least"), "fp")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))

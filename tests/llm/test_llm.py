@@ -405,6 +405,32 @@ def test_edited_copies_go_and_others_stay(spark, edited):
         assert at in kept and all((at + k + 1 in kept) == (s < 0.8) for k, s in enumerate(base) if abs(s - 0.8) > 0.06)
 
 
+def test_near_copies_are_decided_at_0_8_exactly(spark):
+    rng, out = np.random.default_rng(21), []
+    for k, pairs in ((10, 80), (11, 80)):  # 94 words, of which k differ: similarity 80/100 and 79/101
+        for _ in range(pairs):
+            words = [f"v{x}" for x in rng.integers(0, 10**9, 94 + k)]
+            out += [words[:94], words[: 94 - k] + words[94:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(out)]
+    fps = [slow_fingerprint(t, 5) for _, t in rows]
+    same = [slow_jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert same == [80 / 100] * 80 + [79 / 101] * 80
+    gone = {i + 1 for i in range(0, len(rows), 2) if same[i // 2] >= 0.8 or (fps[i] ^ fps[i + 1]).bit_count() <= 3}
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - gone
+
+
+def test_families_of_all_sizes_are_compared_whole(monkeypatch):
+    monkeypatch.setattr(resemblance, "SPOOL_BYTES", 64)
+    monkeypatch.setattr(resemblance, "COMPARE", 10)
+    rng, sets = np.random.default_rng(3), resemblance.Sets()
+    made = [set(rng.choice(40, rng.integers(1, 40), replace=False).tolist()) for _ in range(60)]
+    for x in made:
+        sets.add([*x, *x])
+    for at in (0, 17, 59):
+        assert sets.alike(0.5, at, np.arange(60)).tolist() == [len(made[at] & x) / len(made[at] | x) >= 0.5 for x in made]
+
+
 def test_plans_cover_every_pair():
     rng = np.random.default_rng(5)
     for rows in (10, 10**6, 10**10):
