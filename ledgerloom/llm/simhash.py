@@ -46,15 +46,20 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(2 * total > len(all_), bitorder="little").view(np.uint64)[0])
 
 
-SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+def set_digest(hashes: list[int]) -> bytes:
+    """128 bits that name a set of hashes, whatever their order and repeats."""
+    return xxhash.xxh3_128_digest(np.unique(np.array(hashes, np.uint64)).tobytes())
+
+
+SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("more", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("digest", T.BinaryType())])
 
 
 def with_fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, sketches: bool = False) -> DataFrame:
-    """keep's columns and fp, the fingerprint as a signed 64-bit number, and on demand s, a sketch of the same shingles."""
+    """keep's columns and fp, the fingerprint as a signed 64-bit number, and on demand s, a sketch of the same shingles and a digest of their set."""
     tune(docs.sparkSession)
     frame = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField("fp", T.LongType()), *[T.StructField("s", SKETCH)] * sketches])
-    sketch_type = pa.struct([("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    sketch_type = pa.struct([("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64())), ("sketch", pa.binary()), ("digest", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -64,7 +69,7 @@ def with_fingerprints(docs: DataFrame, text: str, keep: list[str], width: int =
                 made.append(fingerprint(hashes))
                 if sketches:
                     got = resemblance.sketch(hashes)
-                    drawn.append(got and dict(zip(SKETCH.names, got)))
+                    drawn.append(got and dict(zip(SKETCH.names, (*got, set_digest(hashes)))))
             arrays = [*(part.column(i) for i in range(len(keep))), pa.array(np.array(made, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(drawn, sketch_type)] * sketches], names=schema.names)
 
@@ -295,18 +300,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", wi
 
     Fingerprints link when at most distance bits differ; empty and null texts have fingerprint 0 and link like any
     other. Equal fingerprints count once in the search, so groups of exact copies cost one probe. With `similarity`,
-    texts whose sets of shingles are that similar link, too (one text stands for those of equal fingerprint). Rows with a null id stay; a component of such rows alone has a null name. Repeated rows stay
-    repeated. Other columns are ignored.
+    texts whose sets of shingles are that similar link, too; equal sets count once there. Rows with a null id stay; a
+    component of such rows alone has a null name. Repeated rows stay repeated. Other columns are ignored.
     """
     resembling = similarity is not None
     frame = docs.select(id_, text, F.monotonically_increasing_id().alias("row")) if resembling else docs  # cut() fixes the numbers
     prints = cut(with_fingerprints(frame, text, [id_, *["row", text] * resembling], width, resembling))
-    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least"), *[F.min(F.struct("s", "row")).alias("one")] * resembling))
+    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least")))
     links = similar_links(fps.select("fp"), distance)
-    if resembling:
-        texts = fps.select(F.col("fp").alias("node"), "one.row").join(prints.select("row", F.col(text).alias("text")), "row").select("node", "text")
-        nodes = fps.select(F.col("fp").alias("node"), "one.s.*")
-        links = links.union(resemblance.similar_texts(nodes, similarity, texts=texts, hashes_of=lambda x: shingle_hashes(x, width)))
+    if resembling:  # equal fingerprints don't make equal sets: one node for each set, whose links are then its fingerprint's
+        sets = prints.where("s is not null").groupBy("fp", "s.digest").agg(F.min(F.struct("s", "row")).alias("one"))
+        nodes = cut(sets.select("fp", "one.row", "one.s.*").withColumn("node", F.monotonically_increasing_id()))
+        texts = nodes.select("node", "row").join(prints.select("row", F.col(text).alias("text")), "row").select("node", "text")
+        found = resemblance.similar_texts(nodes, similarity, texts=texts, hashes_of=lambda x: shingle_hashes(x, width))
+        for end in ("a", "b"):
+            found = found.join(nodes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        links = links.union(found.select("fp_a", "fp_b").where("fp_a <> fp_b").distinct())
     of = connected_components(links).withColumnsRenamed({"node": "fp"})
     linked = of.join(fps.select("fp", "least"), "fp")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))

@@ -420,6 +420,20 @@ def test_near_copies_are_decided_at_0_8_exactly(spark):
     assert kept == {i for i, _ in rows} - gone
 
 
+def test_texts_of_one_fingerprint_keep_their_own_links(spark):
+    words = lambda seed: " ".join(f"u{x}" for x in np.random.default_rng(seed).integers(0, 10**9, 100))
+    line = "one line of seven words comes again "
+    rows = []
+    for seed in range(0, 16, 2):  # pairs of one fingerprint, and the own words of each alone
+        rows += [line * 400 + words(seed), line * 400 + words(seed + 1), words(seed), words(seed + 1)]
+    rows = list(enumerate(rows))
+    fps = [slow_fingerprint(t, 5) for _, t in rows]
+    assert len({f for f, (i, _) in zip(fps, rows) if i % 4 < 2}) == 1
+    links = [(i, j) for (i, x), (j, y) in combinations(rows, 2) if (fps[i] ^ fps[j]).bit_count() <= 3 or slow_jaccard(x, y) >= 0.8]
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "text", "id", 5, 3, 0.8).collect()}
+    assert got == reached(rows, links) == {i: 0 for i, _ in rows}
+
+
 def test_families_of_all_sizes_are_compared_whole(monkeypatch):
     monkeypatch.setattr(resemblance, "SPOOL_BYTES", 64)
     monkeypatch.setattr(resemblance, "COMPARE", 10)
