@@ -108,18 +108,19 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 40) -> str:
-    """The text between surges and dives of the blocks' lengths, summed over windows of blocks.
+    """The text of the article or main elements, or between surges and dives of the blocks' lengths over windows of blocks.
 
-    Where the page has article or main elements, blocks outside them weigh nothing. A region begins where the window's
+    Where the page has article or main elements with any weight, their blocks from the first to the last with weight
+    are the text, those without weight between them, too. Else a region begins where the window's
     sum comes to `surge` code points or more and is drawn back to the first block in that window with any weight; it
-    ends where the sums fall to nothing. Boilerplate blocks inside a region are left out; the others stay whole. If no
+    ends where the sums fall to nothing. Boilerplate blocks are left out; the others stay whole. If no
     window surges, all blocks with weight are the text.
     """
     found = lines(html or "")
-    if any(main and w > 0 for _, w, main in found):
-        weight = [w if main else -1 for _, w, main in found]
-    else:
-        weight = [w for _, w, _ in found]
+    heavy = [i for i, (_, w, main) in enumerate(found) if main and w > 0]
+    if heavy:
+        return " ".join(text for text, w, main in found[heavy[0] : heavy[-1] + 1] if main and w >= 0)
+    weight = [w for _, w, _ in found]
     length = [max(0, w) for w in weight]
     sums = [sum(length[i : i + window]) for i in range(len(length))]
     keep, inside = [False] * len(length), False

@@ -233,6 +233,16 @@ def test_html_query_against_another_parser(spark):
         assert r.text == " ".join("".join(p.out).split()) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("inner, text", [
+    ("<p>{p}</p><ul>" + "".join(f"<li><a href=x>link {i}</a></li>" for i in range(5)) + "</ul><p>{p}</p>", "{p} link 0 link 1 link 2 link 3 link 4 {p}"),
+    ("<p>{p}</p><aside><p>a</p><p>b</p><p>c</p><p>d</p></aside><p>Fifteen letters</p><p>And that is it.</p>", "{p} Fifteen letters And that is it."),
+    ("<h1>Title</h1><p><a href=x>by one</a></p><p><a href=x>in that</a></p><p><a href=x>on this</a></p><p>{p}</p>", "Title by one in that on this {p}")])
+def test_html_keeps_all_of_an_article(inner, text):
+    long = "a long paragraph of words " * 4 + "ends"
+    page = f"<body><nav><p>Home</p></nav><p>outside</p><article>{inner.replace('{p}', long)}</article><p>{long}</p></body>"
+    assert html_extract.main_text(page) == text.replace("{p}", long)
+
+
 def test_html_of_odd_tables(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a</p>", "t", 5), (1, None, None, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract(frame).collect()) == [("", 0), ("a", 1)]
