@@ -20,8 +20,12 @@ UNCLOSED = frozenset("p li dt dd td tr th".split())  # often left open: they hid
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select button option audio video".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
-#: Words in class, id or role that mark boilerplate, and those that mark the main text.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|footnotes?bar|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar\w*|side|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget\w*|contentinfo|complementary|navigation|search)(?:$|[\s_-]|\d)", re.I)
+#: Names in class, id or role that mark boilerplate. Words before the noun may qualify it (site-footer) but not
+#: deny or merely mention it (no-sidebar, has-sidebar), and those after it may only name its container or state (nav-menu-list).
+NOISE = re.compile(
+    r"[_-]*(?:(?!(?:no|not|non|has|have|with|without|hide|hidden|disabled?|off)[_-])[^\s_-]+[_-]+)*"
+    r"(?:ads?|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|footnotes?bar|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar\w*|side|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget\w*|contentinfo|complementary|navigation|search)\d*"
+    r"(?:[_-]+(?:\d+|[a-z]|active|area|bar|blocks?|bottom|box|buttons?|col|column|container|content|desktop|fixed|form|group|icons?|inner|items?|left|links?|list|main|mobile|nav|open|outer|panel|posts?|primary|right|row|secondary|section|signup|slot|sticky|text|title|toggle|top|unit|wrap|wrapper))*[_-]*", re.I)
 SPLIT = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z](?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+(?:>|\Z)", re.S)
@@ -31,18 +35,21 @@ RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "text
 SPACE = re.compile(r"\s+")
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in a main element) of each block of a page, in order, without markup.
+def lines(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """(text, weight, in a main element, boilerplate by name around it) of each block of a page, in order, without markup.
 
-    The weight is the block's length outside links; a block inside boilerplate elements has weight -1.
+    The weight is the block's length outside links; a block inside boilerplate elements has weight -1, and so has one
+    inside an element of a main element that its name marks. Elements so named elsewhere are numbered, and the
+    last item has the numbers of those around the block.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, int]] = []  # open containers, and whether each hides (2), is boilerplate (1) or main (-1)
+    stack: list[tuple[str, int]] = []  # open containers, and whether each hides (2), is boilerplate (1), so by name around main elements (3) or main (-1)
     depth: Counter = Counter()
     of: Counter = Counter()
-    at, anchors = 0, 0
+    named: list[int] = []
+    at, anchors, names = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -50,7 +57,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 weight = -1 if of[1] else max(0, len(text) - linked)
-                out.append((text, weight, of[-1] > 0))
+                out.append((text, weight, of[-1] > 0, tuple(named)))
             parts.clear()
         linked = 0
 
@@ -65,10 +72,10 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         if not tag:
             break
         at, token = tag.end(), tag[0]
-        named = NAME.match(token)
-        if not named:
+        read = NAME.match(token)
+        if not read:
             continue
-        name, closing = named[1].lower(), token[1] == "/"
+        name, closing = read[1].lower(), token[1] == "/"
         if not closing and name in RAW_END:
             stop = RAW_END[name].search(html, at)
             at = stop.end() if stop else size
@@ -90,6 +97,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                     old, kind = stack.pop()
                     depth[old] -= 1
                     of[kind] -= 1
+                    if kind == 3:
+                        named.pop()
                     if old == name:
                         break
             continue
@@ -98,8 +107,11 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         kind = 2 if name in HIDDEN else 1 if name in BOILERPLATE else -1 if name in MAIN else 0
         if kind == 1 and name == "header" and of[-1]:
             kind = 0  # an article's own heading
-        if kind == 0 and name not in ("body", "html") and any(NOISE.search(a or b or c) for a, b, c in MARKS.findall(token)):
-            kind = 1
+        if kind == 0 and name not in ("body", "html") and any(NOISE.fullmatch(x) for a, b, c in MARKS.findall(token) for x in (a or b or c).split()):
+            kind = 1 if of[-1] else 3
+            if kind == 3:
+                names += 1
+                named.append(names)
         stack.append((name, kind))
         depth[name] += 1
         of[kind] += 1
@@ -107,6 +119,17 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def trusted(found: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[str, int]]:
+    """(text, weight) of blocks, -1 inside boilerplate by name. A name isn't believed that marks over nine tenths of the weight, and none if they mark all of it."""
+    marked: Counter = Counter()
+    for _, w, _, around in found:
+        marked.update(dict.fromkeys(around, max(0, w)))
+    total = sum(w for _, w, _, _ in found if w > 0)
+    believed = {x for x, w in marked.items() if 10 * w <= 9 * total}
+    out = [(text, w if believed.isdisjoint(around) else -1) for text, w, _, around in found]
+    return out if any(w > 0 for _, w in out) else [(text, w) for text, w, _, _ in found]
+
+
 def main_text(html: str | None, window: int = 3, surge: int = 40) -> str:
     """The text of the article or main elements, or between surges and dives of the blocks' lengths over windows of blocks.
 
@@ -116,11 +139,13 @@ def main_text(html: str | None, window: int = 3, surge: int = 40) -> str:
     ends where the sums fall to nothing. Boilerplate blocks are left out; the others stay whole. If no
     window surges, all blocks with weight are the text.
     """
-    found = lines(html or "")
-    heavy = [i for i, (_, w, main) in enumerate(found) if main and w > 0]
+    blocks = lines(html or "")
+    main = trusted([x for x in blocks if x[2]])
+    heavy = [i for i, (_, w) in enumerate(main) if w > 0]
     if heavy:
-        return " ".join(text for text, w, main in found[heavy[0] : heavy[-1] + 1] if main and w >= 0)
-    weight = [w for _, w, _ in found]
+        return " ".join(text for text, w in main[heavy[0] : heavy[-1] + 1] if w >= 0)
+    found = trusted(blocks)
+    weight = [w for _, w in found]
     length = [max(0, w) for w in weight]
     sums = [sum(length[i : i + window]) for i in range(len(length))]
     keep, inside = [False] * len(length), False
@@ -135,7 +160,7 @@ def main_text(html: str | None, window: int = 3, surge: int = 40) -> str:
             keep[i - 1] = True
     if not any(keep):
         keep = [x > 0 for x in length]
-    return " ".join(text for (text, _, _), k, w in zip(found, keep, weight) if k and w >= 0)
+    return " ".join(text for (text, _), k, w in zip(found, keep, weight) if k and w >= 0)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -243,6 +243,20 @@ def test_html_keeps_all_of_an_article(inner, text):
     assert html_extract.main_text(page) == text.replace("{p}", long)
 
 
+@pytest.mark.parametrize("mark", ["class='layout no-sidebar'", "class='content has-sidebar'", "class=page-with-side-nav", "id=search-results", "class=social-science", "class=sidebar", "id='widget-2'"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_names_around_all_text_do_not_drop_it(mark, tag):
+    long = "a long paragraph of words " * 4 + "ends"
+    assert html_extract.main_text(f"<body><div class=site-footer>foot</div><div {mark}><{tag}><p>{long}</p></{tag}></div></body>") == long
+
+
+@pytest.mark.parametrize("mark", ["class='box site-footer'", "class=comment-list", "id=related-posts", "class=ad1", "role=navigation", "class='sidebar--left'"])
+def test_html_names_drop_what_they_name(mark):
+    long = "a long paragraph of words " * 4 + "ends"
+    assert html_extract.main_text(f"<body><div><p>{long}</p></div><div {mark}><p>{long}</p></div></body>") == long
+    assert html_extract.main_text(f"<body><article><p>{long}</p><div {mark}><p>{long}</p></div></article></body>") == long
+
+
 def test_html_of_odd_tables(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a</p>", "t", 5), (1, None, None, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract(frame).collect()) == [("", 0), ("a", 1)]
