@@ -28,12 +28,20 @@ def read_file(spark: SparkSession, path: str, na_values: tuple[str, ...] = ("",)
         return number_rows(read_excel(spark, found))
     if suffix != ".csv" and not Path(found).is_dir():
         raise ValueError(f"Unsupported file type: {suffix}")
-    # Multi-line fields aren't split among tasks by this reader; a large file is, which keeps the scan parallel.
-    raw = spark.read.options(header=True, escape='"', nullValue="").csv(found)
+    raw = spark.read.options(header=True, escape='"', nullValue="", multiLine=breaks_in_quotes(spark, found)).csv(found)
     raw = raw.select(*(F.when(~F.col(f"`{c}`").isin(list(na_values)), F.col(f"`{c}`")).alias(c) for c in raw.columns))
     return number_rows(raw)
 
 
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a line break: the line that it begins on has an odd number of quotes.
+
+    A multi-line scan isn't split among tasks inside a file, so only files that need it are read that way.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def number_rows(raw: DataFrame) -> DataFrame:
     """batch_seq follows source order: partitions of a scan are in file order and rows in them, too. It need not be dense."""
     return raw.withColumn("batch_seq", F.monotonically_increasing_id() + 1)

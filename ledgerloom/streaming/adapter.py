@@ -14,7 +14,8 @@ def ingest_new_files(spark: SparkSession, store, settings: Settings, folder: str
 
     A batch that is run again after a crash upserts the same rows.
     """
-    raw = spark.readStream.schema(", ".join(f"{f} string" for f in FIELDS)).options(header=True, escape='"').csv(folder)
+    # Multi-line, for quoted fields may hold line breaks; a task reads a whole file.
+    raw = spark.readStream.schema(", ".join(f"{f} string" for f in FIELDS)).options(header=True, escape='"', multiLine=True).csv(folder)
 
     def load(batch, batch_id: int) -> None:
         run_ingest(spark, store, settings, raw=number_rows(batch), run_id=f"batch-{batch_id}")

@@ -109,6 +109,27 @@ def test_files(spark, tmp_path):
         files.read_file(spark, "nowhere.csv")
 
 
+def write_broken(folder, end="\n"):
+    """Three records whose quoted names hold line breaks, and those names."""
+    said = [f"Two{end}lines", f'a ""q""{end}{end}, b', "one"]
+    folder.mkdir()
+    (folder / "t.csv").write_bytes((end.join([HEAD, *(",".join(record(transaction_id=f"TXN-{i}", merchant_name=f'"{x}"')) for i, x in enumerate(said))]) + end).encode())
+    return [x.replace('""', '"').replace(end, "\n") for x in said]  # the reader makes each break \n
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_line_breaks_in_quotes_stay_in_their_record(spark, tmp_path, end):
+    want = write_broken(tmp_path / "in", end)
+    rows = files.read_file(spark, str(tmp_path / "in" / "t.csv")).collect()
+    assert [(r.transaction_id, r.merchant_name, r.country_code) for r in rows] == [(f"TXN-{i}", x, "GB") for i, x in enumerate(want)]
+
+
+def test_new_files_with_line_breaks_in_quotes(spark, store, tmp_path):
+    write_broken(tmp_path / "in")
+    ingest_new_files(spark, store, ingest.Settings(), str(tmp_path / "in"), str(tmp_path / "check"))
+    assert store.read("ingestion_run_log").first().input_records == 3
+
+
 def test_rest_pages_retries_and_pushdown(spark):
     asked, failures = [], [503]
 
