@@ -6,10 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log
+from math import erfc, exp, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,81 +103,192 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def evidence(found: list[tuple[int, int, float]], tokens: int, model: Model) -> float:
-    """-ln of the E-value of the document's segments taken together: the best one's, and what others significant by themselves add."""
+    """-ln of the E-value of the document's segments taken together: the best one's, and what others significant by themselves add.
+
+    0 to 200: a text whose segments chance alone explains has no evidence, whatever its length.
+    """
     base = -log(model.scale * max(tokens, 1))
-    gains = sorted((base + model.decay * s for _, _, s in found), reverse=True)
-    return min(200.0, gains[0] + sum(g for g in gains[1:] if g > 0)) if gains else min(0.0, base)
+    return min(200.0, sum(max(0.0, base + model.decay * s) for _, _, s in found))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, prior: float = 5.0, significant: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 30_000, prior: float = 5.0, false_share: float = 0.05) -> Model:
     """Fit on at most train_rows labelled documents (those with the least hash of their id).
 
     docs(doc_id, text), labels(doc_id, toxic). A document labelled more than once counts as toxic if any label says
-    so; null ids and null labels are left out. Counts are of documents that hold a word. A word's Dirichlet prior is
-    its stem's rate, a stem's the rate of all documents; words and stems whose log-odds are under `significant`
-    standard deviations from zero score nothing.
+    so; null ids and null labels are left out. Counts are of documents that hold a word; near copies in the sample
+    share one document's weight. A word's Dirichlet prior is its stem's rate, a stem's the rate of all documents. Words
+    and stems score only if their log-odds are so far from zero that at most `false_share` of those kept are expected
+    to be there by chance (false discovery rate over all keys that occur often enough to be tested). What turns
+    segments into a probability is learnt by cross-fitting: each document is judged by a model of the other folds.
     """
     tune(docs.sparkSession)
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # bounded, so it can be broadcast
-    train = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    train = cut(_sketched(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")))
+    kin = _kin(train)
+    counts = cut(_key_counts(train, kin))
+    all_ = counts.where("key = ''").first()
+    if not all_:
+        return Model()
+    sums = Sums(np.array(all_["t"]), np.array(all_["c"]))
+    t, c = (F.aggregate(x, F.lit(0.0), lambda a, b: a + b) for x in ("t", "c"))
+    keys = counts.where("key <> ''").withColumn("n", F.round(F.least(t + c, F.lit(100.0)) * 2) / 2)
+    often = {r["n"]: r["count"] for r in keys.groupBy("n").count().collect()}  # at most 200 rows
+    rate = sums.rate()
+    likely = F.log((t + prior * rate) / (c + prior * (1 - rate))) - log(rate / (1 - rate))
+    sure = F.sqrt(1 / (t + prior * rate) + 1 / (c + prior * (1 - rate)))
+    # Keys that can't be significant stay on the executors.
+    kept = keys.where(F.abs(likely) > LEAST_SIGMA * sure).collect()  # bounded by the sample
+    drop_cut(counts)
+    table = {r["key"]: (np.array(r["t"]), np.array(r["c"])) for r in kept}
+    sigma = _gate([_odds(t.sum(), c.sum(), rate, rate, prior) for t, c in table.values()], often, rate, prior, false_share)
+    model = _weigh(table, sums, sigma, prior)
+    _calibrate(train, kin, [_weigh(table, sums, sigma, prior, without=k) for k in range(FOLDS)], model)
+    drop_cut(train)
+    return model
+
+
+#: Documents of one fold are judged by a model of the others. Minima of a document's word pairs tell its near copies.
+FOLDS, MINIMA = 5, 9
+#: Standard deviations that a key needs at the very least, however few keys there are.
+LEAST_SIGMA = 2.5
+_MIX = np.random.Generator(np.random.PCG64(1)).integers(1, 1 << 63, MINIMA, np.uint64) | np.uint64(1)
+
+
+@dataclass
+class Sums:
+    """Weights of the toxic and clean documents of each fold."""
+
+    toxic: np.ndarray
+    clean: np.ndarray
+
+    def rate(self, without: int | None = None) -> float:
+        t, c = (float(x.sum() - (0 if without is None else x[without])) for x in (self.toxic, self.clean))
+        return (t + 0.5) / (t + c + 1)
+
+
+def minima(words: list[str]) -> list[int]:
+    """The least value of a text's set of word pairs under each of MINIMA functions; texts without a pair have their words instead."""
+    if not words:
+        return [0] * MINIMA
+    known = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    one = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    pairs = np.unique(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + (one[1:] ^ one[1:] >> np.uint64(29)) if len(one) > 1 else one)
+    return [int((x ^ x >> np.uint64(32)).min() >> np.uint64(1)) for x in (pairs * m for m in _MIX)]
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """rows(toxic, text) with the text's minima."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [minima(WORD.findall((x.as_py() or "").lower())) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "text", "minima"])
+
+    return rows.mapInArrow(run, "toxic int, text string, minima array<long>")
+
+
+def _kin(train: DataFrame) -> dict[tuple[int, int], int]:
+    """How many documents share a minimum, where several do; bounded by the sample."""
+    shared = train.select(F.posexplode("minima").alias("j", "m")).groupBy("j", "m").count().where("count > 1")
+    return {(r["j"], r["m"]): r["count"] for r in shared.collect()}
+
+
+def _weight(least: list[int], kin: dict[tuple[int, int], int]) -> float:
+    """A document's share: one over the number of those that have most of its minima, itself included."""
+    return 1 / sorted(kin.get((j, m), 1) for j, m in enumerate(least))[MINIMA // 2]
+
+
+def _fold(least: list[int]) -> int:
+    """Near copies mostly have the same."""
+    return (least[0] >> 7) % FOLDS
+
+
+def _key_counts(train: DataFrame, kin: dict) -> DataFrame:
+    """(key, t, c): the weights of toxic and of clean documents with each word and stem, by fold; the key '' has all documents."""
+    shared = train.sparkSession.sparkContext.broadcast(kin)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            seen = (Counter(), Counter())
-            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            seen: dict[str, np.ndarray] = {}
+            for toxic, text, least in zip(*(part.column(i).to_pylist() for i in range(3))):
+                at, weight = (0 if toxic > 0 else FOLDS) + _fold(least), _weight(least, shared.value)
                 words = set(WORD.findall((text or "").lower()))
-                seen[toxic > 0].update(words)
-                seen[toxic > 0].update({STEM_MARK + w[:n] for w in words for n in STEMS if len(w) >= n})
-                seen[toxic > 0][""] += 1
-            keys = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[c][k] for k in keys], pa.int64()) for c in (1, 0))], names=["key", "t", "c"])
+                for key in ("", *words, *{STEM_MARK + w[:n] for w in words for n in STEMS if len(w) >= n}):
+                    if key not in seen:
+                        seen[key] = np.zeros(2 * FOLDS)
+                    seen[key][at] += weight
+            if seen:
+                every = np.stack(list(seen.values()))
+                ends = pa.array(np.arange(0, FOLDS * len(every) + 1, FOLDS), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (every[:, :FOLDS], every[:, FOLDS:]))], names=["key", "t", "c"])
 
-    counts = cut(train.mapInArrow(count, "key string, t long, c long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    all_ = counts.where("key = ''").first()
-    if not all_:
-        return Model()
-    toxic, clean = all_["t"], all_["c"]
-    rate = (toxic + 0.5) / (toxic + clean + 1)
-    # A key with t toxic documents has at most these log-odds; keys that can't be significant stay on the executors.
-    odds = lambda t, c, p: (log((t + prior * p) / (c + prior * (1 - p))) - log(rate / (1 - rate)), (1 / (t + prior * p) + 1 / (c + prior * (1 - p))) ** 0.5)
-    likely = F.log((F.col("t") + prior * rate) / (F.col("c") + prior * (1 - rate))) - log(rate / (1 - rate))
-    sure = F.sqrt(1 / (F.col("t") + prior * rate) + 1 / (F.col("c") + prior * (1 - rate)))
-    kept = counts.where("key <> ''").where(F.abs(likely) > (significant - 0.5) * sure).collect()  # bounded by the sample
-    drop_cut(counts)
-    model, table = Model(), {r["key"]: (r["t"], r["c"]) for r in kept}
-    for key, (t, c) in table.items():
+    found = train.mapInArrow(count, "key string, t array<double>, c array<double>")
+    total = lambda x: F.array(*[F.sum(F.col(x)[k]) for k in range(FOLDS)]).alias(x)
+    return found.groupBy("key").agg(total("t"), total("c"))
+
+
+def _odds(t: float, c: float, p: float, rate: float, prior: float) -> tuple[float, float]:
+    """Log-odds against the rate of all documents under a Dirichlet prior of rate p, and their standard deviation."""
+    return log((t + prior * p) / (c + prior * (1 - p))) - log(rate / (1 - rate)), (1 / (t + prior * p) + 1 / (c + prior * (1 - p))) ** 0.5
+
+
+def _gate(odds: list[tuple[float, float]], often: dict[float, int], rate: float, prior: float, false_share: float) -> float:
+    """The least number of standard deviations at which chance gives at most false_share of the keys beyond it.
+
+    Chance is counted over the keys that are frequent enough to come so far at all; often: keys by frequency.
+    """
+    found = np.sort(np.array([abs(s) / e for s, e in odds]))
+    best = {n: max(abs(s) / e for s, e in (_odds(n, 0, rate, rate, prior), _odds(0, n, rate, rate, prior))) for n in often}
+    for sigma in np.arange(LEAST_SIGMA, 8, 0.1):
+        tested = sum(count for n, count in often.items() if best[n] >= sigma)
+        if tested * erfc(sigma / 2**0.5) <= false_share * (len(found) - np.searchsorted(found, sigma)):
+            return float(sigma)
+    return 8.0
+
+
+def _weigh(table: dict[str, tuple[np.ndarray, np.ndarray]], sums: Sums, sigma: float, prior: float, without: int | None = None) -> Model:
+    """The model of all folds, or of all but one."""
+    rate, model = sums.rate(without), Model()
+    of = {k: tuple(max(0.0, float(x.sum() - (0 if without is None else x[without]))) for x in both) for k, both in table.items()}
+    for key, (t, c) in of.items():
         if key[0] == STEM_MARK:
-            score, error = odds(t, c, rate)
-            if abs(score) > significant * error:
+            score, error = _odds(t, c, rate, rate, prior)
+            if abs(score) > sigma * error:
                 model.stems[key[1:]] = score
-    for key, (t, c) in table.items():
+    for key, (t, c) in of.items():
         if key[0] != STEM_MARK:
-            st, sc = next((table[STEM_MARK + key[:n]] for n in STEMS if key[:n] in model.stems), (0, 0))
-            p = (st + prior * rate) / (st + sc + prior)
-            score, error = odds(t, c, p)
-            if abs(score) > significant * error:
+            st, sc = next((of[STEM_MARK + key[:n]] for n in STEMS if key[:n] in model.stems), (0, 0))
+            score, error = _odds(t, c, (st + prior * rate) / (st + sc + prior), rate, prior)
+            if abs(score) > sigma * error:
                 model.words[key] = score
-    _calibrate(train, model)
-    drop_cut(train)
     return model
 
 
-def _calibrate(train: DataFrame, model: Model) -> Model:
-    """lambda and K from clean documents, then the logistic curve over -ln(E-value), all from sums over the sample."""
-    score = _Scores(model)
+def _calibrate(train: DataFrame, kin: dict, others: list[Model], model: Model) -> Model:
+    """lambda and K from clean documents, then the logistic curve over -ln(E-value), from sums over the sample; others[k] is fitted without fold k."""
+    shared = train.sparkSession.sparkContext.broadcast((others, kin))
 
-    def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, float, list[float]]]:
+        """(toxic, weight, token scores) of each document."""
+        models, kin = shared.value
+        score = [_Scores(m) for m in models]
         for part in parts:
-            seen: Counter = Counter()
-            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if toxic <= 0:
-                    got = score.of(WORD.findall((text or "").lower()))
-                    seen.update(("score", round(x * 4) / 4) for x in got)
-                    best = max((s for _, _, s in segments(got)), default=0.0)
-                    if best > 0:
-                        seen.update({("best", 0.0): best, ("size", 0.0): log(len(got)), ("texts", 0.0): 1.0})
-            yield _counted(seen)
+            for toxic, text, least in zip(*(part.column(i).to_pylist() for i in range(3))):
+                yield toxic, _weight(least, kin), score[_fold(least)].of(WORD.findall((text or "").lower()))
+
+    def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for toxic, weight, got in judged(parts):
+            if toxic <= 0:
+                for x, n in Counter(round(x * 4) / 4 for x in got).items():
+                    seen["score", x] += weight * n
+                best = max((s for _, _, s in segments(got)), default=0.0)
+                if best > 0:
+                    seen["best", 0.0] += weight * best
+                    seen["size", 0.0] += weight * log(len(got))
+                    seen["texts", 0.0] += weight
+        yield _counted(seen)
 
     sums = {(r["kind"], r["x"]): r["n"] for r in train.mapInArrow(tally, COUNTED).groupBy("kind", "x").agg(F.sum("n").alias("n")).collect()}
     best = {kind: sums.get((kind, 0.0), 0.0) for kind in ("best", "size", "texts")}
@@ -196,12 +308,10 @@ def _calibrate(train: DataFrame, model: Model) -> Model:
         model.scale = exp(min(5.0, max(-15.0, (model.decay * best["best"] - best["size"]) / best["texts"] - 0.5772)))
 
     def curve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            seen: Counter = Counter()
-            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                got = score.of(WORD.findall((text or "").lower()))
-                seen["clean" if toxic <= 0 else "toxic", float(round(evidence(segments(got), len(got), model)))] += 1
-            yield _counted(seen)
+        seen: Counter = Counter()
+        for toxic, weight, got in judged(parts):
+            seen["clean" if toxic <= 0 else "toxic", float(round(evidence(segments(got), len(got), model) * 2) / 2)] += weight
+        yield _counted(seen)
 
     bins = train.mapInArrow(curve, COUNTED).groupBy("kind", "x").agg(F.sum("n").alias("n")).collect()
     model.logit = _logistic(np.array([r["x"] for r in bins]), np.array([float(r["kind"] == "toxic") for r in bins]), np.array([r["n"] for r in bins], float))
@@ -217,17 +327,30 @@ def _counted(seen: Counter) -> pa.RecordBatch:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression by Newton's method with a weak ridge; one class alone gives its smoothed rate."""
+    """Weighted logistic regression with a weak ridge by damped Newton steps: a step is halved until the objective falls.
+
+    One class alone gives its smoothed rate. Where more evidence goes with fewer toxic documents, the best slope that
+    isn't negative is 0, with the smoothed rate.
+    """
     rate = (float((n * y).sum()) + 0.5) / (float(n.sum()) + 1)
     a = np.array([log(rate / (1 - rate)), 0.0])
     if not 0 < (n * y).sum() < n.sum():
         return float(a[0]), 0.0
     design, ridge = np.stack([np.ones_like(x), x], 1), np.diag([1e-3, 1e-1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
-        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (n * (y - p)) - ridge @ a)
-        a = a + np.clip(step, -2, 2)
-    return float(a[0]), max(0.0, float(a[1]))
+    loss = lambda a: float((n * (np.logaddexp(0, design @ a) - y * (design @ a))).sum() + a @ ridge @ a / 2)
+    now = loss(a)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ a, -500, 500)))
+        down = design.T @ (n * (y - p)) - ridge @ a
+        if np.abs(down).max() <= 1e-7 * (1 + n.sum()):
+            break
+        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + ridge, down)
+        while (then := loss(a + step)) > now - 1e-4 * float(step @ down) and np.abs(step).max() > 1e-12:
+            step = step / 2
+        a, now = a + step, min(now, then)
+    else:
+        raise ArithmeticError("the logistic curve didn't converge")
+    return (float(a[0]), float(a[1])) if a[1] > 0 else (log(rate / (1 - rate)), 0.0)
 
 
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("e_value", T.DoubleType())]))

@@ -68,18 +68,57 @@ def test_maximal_segments_follow_their_definition(scores):
 
 
 def test_toxicity_learns_from_its_fold_alone_and_holds_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.op1_toxicity(spark, sf).toPandas()
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
-    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all() and len(got) == 1000
+    assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all() and len(got) == 10_000
     held = got.merge(labels, on="doc_id").query("held_out")
-    assert (held.predicted == held.toxic).mean() > 0.85
+    assert held[held.toxic == 1].predicted.mean() >= 0.85 and held[held.toxic == 0].predicted.mean() <= 0.02
+    assert held[held.toxic == 1].score.mean() > held[held.toxic == 0].score.mean() + 0.5
+
+
+@pytest.mark.parametrize("copies, edits", [(10, 0), (4, 0.05)])
+def test_toxicity_is_learnt_as_well_from_labels_with_copies(spark, copies, edits):
+    sf, held = "/root/testdata/sf0.1", toxicity.held_out(F.col("doc_id"))
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+
+    def copied(parts):
+        for part in parts:
+            rows = []
+            for i, text in zip(part.doc_id, part.text):
+                rng = np.random.default_rng(i)
+                for k in range(copies):
+                    words = text.split(" ")
+                    for at in rng.integers(0, len(words), int(edits * len(words)) if k else 0):
+                        words[at] = f"{words[at]}q"
+                    rows.append((100 * i + k, " ".join(words)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text"])
+
+    more = docs.join(labels, "doc_id").where(~held).select("doc_id", "text").mapInPandas(copied, "doc_id long, text string")
+    same = labels.where(~held).select(F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("k"), "doc_id", "toxic").select((100 * F.col("doc_id") + F.col("k")).alias("doc_id"), "toxic")
+    model = toxicity.fit(more, same)
+    got = toxicity.score(docs.where(held).select("doc_id", "text"), model).join(labels, "doc_id").select("toxic", "toxicity").toPandas()
+    assert (got.toxicity[got.toxic == 1] >= 0.5).mean() >= 0.85 and (got.toxicity[got.toxic == 0] >= 0.5).mean() <= 0.02
+
+
+def test_logistic_curve_ends_at_its_optimum():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        clean, toxic = int(rng.integers(1000, 30_000)), int(rng.integers(10, 3000))
+        x = np.concatenate((np.round(rng.exponential(rng.uniform(0.1, 8), clean)), np.minimum(200, np.round(rng.gamma(2, rng.uniform(1, 60), toxic)))))
+        y = np.concatenate((np.zeros(clean), np.ones(toxic)))
+        a, b = toxicity._logistic(x, y, np.ones(len(x)))
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        assert b > 0.01 or x[y == 1].mean() < x[y == 0].mean()
+        if b:  # both derivatives of the objective vanish
+            assert abs((y - p).sum() - 1e-3 * a) < 0.01 and abs(((y - p) * x).sum() - 0.1 * b) < 0.01
+    assert toxicity._logistic(np.array([0.0, 9.0]), np.array([1.0, 0.0]), np.array([50.0, 50.0])) == (0.0, 0.0)
 
 
 def test_toxicity_of_odd_tables(spark, odd):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    train = spark.createDataFrame([(i, "fine words only" if i % 2 == 0 else "you idiot you") for i in range(40)], "doc_id long, text string")
+    train = spark.createDataFrame([(i, f"fine {'abcdefghij'[i % 10] * (i + 2)} words only" if i % 2 == 0 else f"you idiot {'abcdefghij'[i % 10] * (i + 2)} you") for i in range(40)], "doc_id long, text string")
     model = toxicity.fit(train, labels)
     got = {(r.doc_id, r.text): r for r in toxicity.score(odd, model).collect()}
     assert got[1, None].toxicity == got[2, ""].toxicity < 0.5 and got[4, LONG].toxicity == got[5, LONG].toxicity and toxicity.score(odd, model).columns.count("toxicity") == 1
