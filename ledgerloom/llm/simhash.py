@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,14 +57,14 @@ SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.Stru
 def with_fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, sketches: bool = False) -> DataFrame:
     """keep's columns and fp, the fingerprint as a signed 64-bit number, and on demand s, a sketch of the same shingles and a digest of their set."""
     tune(docs.sparkSession)
-    frame = docs.select(*keep, F.col(text).alias("__text"))
+    frame, at = (docs.select(*keep), keep.index(text)) if text in keep else (docs.select(*keep, text), len(keep))
     schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField("fp", T.LongType()), *[T.StructField("s", SKETCH)] * sketches])
     sketch_type = pa.struct([("bands", pa.list_(pa.int64())), ("more", pa.list_(pa.int64())), ("sketch", pa.binary()), ("digest", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             made, drawn = [], []
-            for x in part.column(len(keep)):
+            for x in part.column(at):
                 hashes = shingle_hashes(x.as_py(), width)
                 made.append(fingerprint(hashes))
                 if sketches:
@@ -295,42 +295,79 @@ def _block(used: F.Column, i: F.Column, count: int) -> F.Column:
 # ---- operator
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
-    """(id, fp, component): every row of docs with its fingerprint and its component, named by the smallest id in it.
+def _components(prints: DataFrame, fps: DataFrame, width: int, distance: int, similarity: float | None) -> DataFrame:
+    """(fp, component) of every linked fingerprint of fps(fp): component is the least fingerprint reachable.
 
-    Fingerprints link when at most distance bits differ; empty and null texts have fingerprint 0 and link like any
-    other. Equal fingerprints count once in the search, so groups of exact copies cost one probe. With `similarity`,
-    texts whose sets of shingles are that similar link, too; equal sets count once there. Rows with a null id stay; a
-    component of such rows alone has a null name. Repeated rows stay repeated. Other columns are ignored.
+    prints(row, __text, fp, s) are needed with `similarity` alone.
     """
-    resembling = similarity is not None
-    frame = docs.select(id_, text, F.monotonically_increasing_id().alias("row")) if resembling else docs  # cut() fixes the numbers
-    prints = cut(with_fingerprints(frame, text, [id_, *["row", text] * resembling], width, resembling))
-    fps = cut(prints.groupBy("fp").agg(F.min(id_).alias("least")))
     links = similar_links(fps.select("fp"), distance)
-    if resembling:  # equal fingerprints don't make equal sets: one node for each set, whose links are then its fingerprint's
+    if similarity is not None:  # equal fingerprints don't make equal sets: one node for each set, whose links are then its fingerprint's
         sets = prints.where("s is not null").groupBy("fp", "s.digest").agg(F.min(F.struct("s", "row")).alias("one"))
         nodes = cut(sets.select("fp", "one.row", "one.s.*").withColumn("node", F.monotonically_increasing_id()))
-        texts = nodes.select("node", "row").join(prints.select("row", F.col(text).alias("text")), "row").select("node", "text")
+        texts = nodes.select("node", "row").join(prints.select("row", F.col("__text").alias("text")), "row").select("node", "text")
         found = resemblance.similar_texts(nodes, similarity, texts=texts, hashes_of=lambda x: shingle_hashes(x, width))
         for end in ("a", "b"):
             found = found.join(nodes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
         links = links.union(found.select("fp_a", "fp_b").where("fp_a <> fp_b").distinct())
-    of = connected_components(links).withColumnsRenamed({"node": "fp"})
-    linked = of.join(fps.select("fp", "least"), "fp")
+    return connected_components(links).withColumnsRenamed({"node": "fp"})
+
+
+def _printed(docs: DataFrame, text: str, keep: list[Column], width: int, similarity: float | None) -> DataFrame:
+    """keep's columns with fp, and with `similarity` also row, __text and s, cut, so that row numbers stay."""
+    more = [F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("__text")] if similarity is not None else []
+    names = [c for c in docs.select(*keep).columns] + ["row", "__text"] * bool(more)
+    frame = docs.select(*keep, *more, *([] if more else [F.col(f"`{text}`").alias("__text")]))
+    return cut(with_fingerprints(frame, "__text", names, width, similarity is not None))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
+    """(id, fp, component): every row of docs with its fingerprint and its component, named by the smallest id in it.
+
+    Fingerprints link when at most distance bits differ; empty and null texts have fingerprint 0 and link like any
+    other. Equal fingerprints count once in the search, so groups of exact copies cost one probe. With `similarity`,
+    texts whose sets of shingles are that similar link, too; equal sets count once there. Rows with a null id stay; a
+    component of such rows alone has a null name. Repeated rows stay repeated. Other columns are ignored.
+    """
+    prints = _printed(docs, text, [F.col(id_).alias("__id")], width, similarity)
+    fps = cut(prints.groupBy("fp").agg(F.min("__id").alias("least")))
+    linked = _components(prints, fps, width, distance, similarity).join(fps, "fp")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select("fp", "name")
     alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("name"))
-    return prints.select(id_, "fp").join(cut(named.unionByName(alone)), "fp").select(F.col(id_), "fp", F.col("name").alias("component"))
+    return prints.select("__id", "fp").join(cut(named.unionByName(alone)), "fp").select(F.col("__id").alias(id_), "fp", F.col("name").alias("component"))
+
+
+def _row_key(docs: DataFrame, id_: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id and 128 bits of the whole row, apart from maps."""
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    nulls = F.concat_ws("", *[F.isnull(c).cast("string") for c in whole])  # a null leaves the hash as it was
+    return F.col(f"`{id_}`").alias("__id"), F.struct(F.xxhash64(F.lit(1), nulls, *whole).alias("a"), F.xxhash64(F.lit(2), nulls, *reversed(whole)).alias("b")).alias("__key")
 
 
 def representatives(docs: DataFrame, text: str = "text", id_: str = "doc_id", width: int = 5, distance: int = 3, similarity: float | None = 0.8) -> DataFrame:
-    """The rows of docs without their near copies: of each component one row with its smallest id stays.
+    """The rows of docs without their near copies: of each group of linked texts one row stays, one with the group's smallest id.
 
-    Of rows that repeat that id, one stays. Rows without an id stay, for they have no name to be kept by.
+    Rows are told apart by their content, not by their id: a row goes only if its text links to that of a row that
+    stays, so different texts under one id (or under none) all stay. Null ids come last. Of several rows with the
+    smallest id the one with the least hash of all its columns stays; of equal rows one. Empty and null texts are one
+    group. An empty table gives no rows. Columns and their order are kept.
     """
-    found = near_duplicates(docs, text, id_, width, distance, similarity)
-    gone = found.where(F.col(id_) != F.col("component")).select(F.col(id_).alias("__gone")).distinct()
-    unique = docs.groupBy(id_).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    kept = docs.join(gone, F.col(f"`{id_}`") == F.col("__gone"), "left_anti")
-    return kept if unique else kept.where(F.col(id_).isNull()).unionByName(kept.where(F.col(id_).isNotNull()).dropDuplicates([id_]))
+    names = docs.columns
+    prints = _printed(docs, text, list(_row_key(docs, id_)), width, similarity)
+    rows = cut(prints.groupBy("fp", "__id", "__key").agg(F.count("*").alias("n")))
+    best = F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key")))
+    fps = cut(rows.groupBy("fp").agg(best.alias("best")))
+    linked = _components(prints, fps, width, distance, similarity).join(fps, "fp")
+    chosen = linked.groupBy("component").agg(F.min("best").alias("best"))
+    named = linked.select("fp", "component").join(chosen, "component").select("fp", "best")
+    alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", "best")
+    judged = rows.join(cut(named.unionByName(alone)), "fp").select("__id", "__key", "n", (F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__key") == F.col("best.key"))).alias("stays"))
+    judged = cut(judged)
+    gone = judged.where("not stays").select(F.col("__key").alias("__gone")).distinct()
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)), _row_key(docs, id_)[1])
+    kept = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    twice = judged.where("stays and n > 1").select(F.col("__key").alias("__twice"))
+    if not twice.isEmpty():
+        hot = kept.join(twice, F.col("__key") == F.col("__twice"), "left_semi")
+        kept = kept.join(twice, F.col("__key") == F.col("__twice"), "left_anti").unionByName(hot.dropDuplicates(["__key"]))
+    return kept.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names)))
