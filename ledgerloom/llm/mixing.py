@@ -1,28 +1,30 @@
-"""Mixing sources to target weights by entropy balancing."""
+"""Mixing sources to target weights by entropy balancing over documents."""
 
 from __future__ import annotations
 
+from math import log
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, drop_cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
-HASH_BUCKETS = 4096
 MOST = 3  # times its size that a document or source may come to
+BINS = 512  # a unit of the places that copies have in their size class
+CHUNK = 1 << 16  # equal rows are repeated by so many at a time
+SUM = "decimal(38,12)"  # sums of which don't depend on the order of rows, so that reruns agree
+STEEPEST = -60.0
 
 
-def word_count(text: F.Column) -> F.Column:
+def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def cells(sized: DataFrame) -> DataFrame:
-    """(source, size_class, bucket, words, n): what the balance needs of the documents, added up before any shuffle."""
-    return sized.groupBy("source", "size_class", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-
-
 def targets(sources: DataFrame) -> DataFrame:
     """sources(source, words) with weight and target.
 
@@ -43,85 +45,204 @@ def targets(sources: DataFrame) -> DataFrame:
     return ranked.withColumn("target", F.least(F.col("weight") * level, (MOST * F.col("words")).cast("double")))
 
 
-def rates(sources: DataFrame, steps: int = 40) -> DataFrame:
-    """sources(words, target) with rate, the copies that a document of each source gets on average.
+def rate(multiplier: Column, size: Column) -> Column:
+    """The weight that the balance gives a document: its base weight of one, tilted exponentially by its size, at most MOST."""
+    return F.least(F.lit(float(MOST)), F.exp(F.least(multiplier * size, F.lit(log(MOST) + 1))))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-    The balance closest in entropy to the corpus, measured in words, that meets every target: it maximises
-    sum(multiplier * target) - sum(words * exp(multiplier)), a concave dual whose Hessian is diagonal, so that Newton
-    steps run on each source's sums by themselves, where those sums are. A step never raises a multiplier by over 1.
+
+def _newton_step(state: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One Newton step of every source's multiplier: the dual's gradient and curvature are summed over all documents.
+
+    The step is taken on the logarithms of sum(size * rate) and target, between which the relation is almost straight;
+    it stays inside the bracket (low, high) that the signs of the gradients so far leave, and halves it else.
     """
-    step = lambda at, _: at - 1 + F.least(F.lit(2.0), F.col("target") / (F.greatest(F.col("words"), F.lit(1)) * F.exp(at)))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return sources.withColumn("rate", F.when((F.col("words") > 0) & (F.col("target") > 0), F.least(F.lit(float(MOST)), F.exp(solved))).otherwise(F.lit(0.0)))
-
-
-def _thresholds(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one source: for each size class, how many buckets of documents get one copy more; what is missed passes on to the class of shorter documents."""
-    out, rate = [], float(group["rate"].iloc[0])
-    whole = min(int(rate + 1e-9), MOST)
-    missed = 0.0
-    for size_class, part in group.sort_values(["size_class", "bucket"]).groupby("size_class", sort=False):
-        pass_ = part["words"].cumsum()
-        wish = missed + (rate - whole) * float(part["words"].sum())
-        sums, at = [0.0, *map(float, pass_)], 0
-        if whole < MOST:
-            at = min(range(len(sums)), key=lambda i: abs(sums[i] - wish))
-        cutoff = 0 if at == 0 else int(part["bucket"].iloc[at - 1]) + 1
-        missed = wish - sums[at]
-        out.append((size_class, whole, cutoff))
-    return pd.DataFrame({"source": [group["source"].iloc[0]] * len(out), "size_class": [x[0] for x in out], "whole": [x[1] for x in out], "cutoff": [x[2] for x in out]})
-
-
-def with_sizes(docs: DataFrame, text: str, id_: str, source: str) -> DataFrame:
-    """docs with size, size_class (0 for the longest) and bucket, a hash of the id that decides who gets a copy more."""
-    return (docs.withColumn("size", word_count(F.col(text)))
-            .withColumn("size_class", F.when(F.col("size") > 0, 62 - F.floor(F.log2(F.col("size").cast("double"))).cast("int")).otherwise(F.lit(63)))
-            .withColumn("bucket", F.pmod(F.xxhash64(F.col(id_), F.col("size")), F.lit(HASH_BUCKETS)).cast("int"))
-            .withColumn("source", F.col(source)))
-
-
-def balance(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sources with words, target and rate; (source, size_class, whole, cutoff)) for what with_sizes gives.
-
-    Rates become copies: every document gets `whole`, and one more if its bucket lies under its class's cutoff.
-    Cutoffs are set from sums over all documents so that a source's words miss its target by no more than half a
-    bucket of its shortest documents. A source has at most 64 classes of HASH_BUCKETS sums, whatever its rows.
+    names = ["source", "words", "target", "multiplier", "low", "high", "apart"]
+    at = state.select(F.col("source").alias("__s"), *(c for c in names if c != "source"))
+    w, x = rate(F.col("multiplier"), F.col("size")), F.col("size").cast("double")
+    got = F.sum((F.col("n") * x * w).cast(SUM)).cast("double")
+    bend = F.sum(F.when(w < MOST, F.col("n") * x * x * w).cast(SUM)).cast("double")
+    summed = sizes.join(at, _same("source", "__s")).groupBy(*names).agg(got.alias("got"), bend.alias("bend"))
+    gap = F.log(F.greatest(F.col("got"), F.lit(1e-12))) - F.log(F.col("target"))
+    solved = (F.col("target") >= MOST * F.col("words")) | (F.abs(gap) <= 1e-9)
+    low = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low"))
+    high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
+    step = F.col("multiplier") - gap * F.col("got") / F.nullif(F.col("bend"), F.lit(0.0))
+    inside = step.isNotNull() & (step > low) & (step < high)
+    then = F.when(solved, F.col("multiplier")).when(inside, step).otherwise((low + high) / 2)
+    return summed.select("source", "words", "target", then.alias("multiplier"), low.alias("low"), high.alias("high"), F.when(solved, F.lit(0.0)).otherwise(F.abs(gap)).alias("apart"))
+
+
+def multipliers(sources: DataFrame, sizes: DataFrame, steps: int = 80, at_once: int = 4) -> DataFrame:
+    """sources(source, words, target) with multiplier, from sizes(source, size, n), the exact counts of documents by size.
+
+    Entropy balancing: of all document rates with sum(size * rate) = target in every source, those nearest in entropy
+    to the base weights of one, capped at MOST. The convex dual has one multiplier a source, whose
+    rates are exp(multiplier * size). Its gradient and curvature are aggregates over the documents; a job makes
+    at_once steps for all sources together, until sums and targets agree to 1e-9. A source without words, or of
+    which all is taken MOST times, needs no step. RuntimeError if `steps` steps don't end it.
     """
-    sums = cut(cells(sized))
-    balanced = cut(rates(targets(sums.groupBy("source").agg(F.sum("words").alias("words")))))
-    joined = sums.alias("c").join(balanced.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.source", "size_class", "bucket", F.col("c.words").alias("words"), "rate")
-    schema = "source string, size_class int, whole int, cutoff int"
-    limits = cut(joined.groupBy("source").applyInPandas(_thresholds, schema))
-    drop_cut(sums)
-    return balanced, limits
+    trivial = F.when(F.col("target") >= MOST * F.col("words"), F.lit(log(MOST))).otherwise(F.lit(0.0))
+    state = cut(sources.where("words > 0 and target > 0").select("source", "words", "target", trivial.alias("multiplier"), F.lit(STEEPEST).alias("low"), F.lit(log(MOST)).alias("high"), F.lit(1.0).alias("apart")))
+    for _ in range(0, steps, at_once):
+        step = state
+        for _ in range(at_once):
+            step = _newton_step(step, sizes)
+        step = cut(step)
+        drop_cut(state)
+        state = step
+        if not (state.agg(F.max("apart")).first()[0] or 0) > 0:
+            break
+    else:
+        raise RuntimeError("entropy balancing didn't converge")
+    solved = state.select(F.col("source").alias("__s"), "multiplier")
+    return sources.join(solved, _same("source", "__s"), "left").drop("__s").withColumn("multiplier", F.coalesce("multiplier", F.lit(0.0)))
+
+
+def _chance(key: Column, j: Column, m: Column) -> Column:
+    """A number in [0, 1) for the j-th of m equal rows; they lie evenly spaced behind a hash of the row."""
+    first = F.shiftrightunsigned(F.xxhash64(key), 12).cast("double") / float(1 << 52)
+    return F.pmod(first + j / m, F.lit(1.0))
+
+
+def _places(multiplier: Column, size: Column, chance: Column) -> Column:
+    """For each of MOST copies of a document, the bin of its place: chance + j - rate for the j-th.
+
+    Places under 0 are as many as the rate on average, and differ from it by less than one.
+    """
+    place = lambda j: chance + j - rate(multiplier, size)
+    return F.array(*[F.least(F.lit(2 * MOST * BINS - 1), F.greatest(F.lit(0), F.floor((place(j) + MOST) * BINS))).cast("int") for j in range(MOST)])
+
+
+def _each(rows: DataFrame, n: Column) -> DataFrame:
+    """rows, each n times, with j from 0; a row's repeats are made by CHUNK at a time, whatever their number."""
+    some = rows.withColumn("__n", n.cast("long")).where("__n > 0")
+    part = some.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / CHUNK))))
+    end = F.least(F.col("__n") - 1, F.col("__c") * CHUNK + CHUNK - 1)
+    return part.withColumn("j", F.explode(F.sequence(F.col("__c") * CHUNK, end))).drop("__n", "__c")
+
+
+def size_class(size: Column) -> Column:
+    """0 for the longest; sizes of a class differ by less than a factor of two."""
+    return F.when(size > 0, 62 - F.floor(F.log2(size.cast("double"))).cast("int")).otherwise(F.lit(63))
+
 
+def _nearest(sums: np.ndarray, wish: float) -> int:
+    """The first place of a rising list that is nearest to wish."""
+    return int(np.abs(sums - wish).argmin())
 
-def with_copies(sized: DataFrame, limits: DataFrame) -> DataFrame:
-    """sized with copies. limits has at most 64 rows for each source; the join broadcasts them only while they are small."""
-    lim = limits.select(F.col("source").alias("__s"), F.col("size_class").alias("__c"), "whole", "cutoff")
-    joined = sized.join(lim, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size_class") == F.col("__c")), "left")
-    return joined.withColumn("copies", F.coalesce(F.col("whole") + (F.col("bucket") < F.col("cutoff")).cast("int"), F.lit(0))).drop("__s", "__c", "whole", "cutoff")
+
+def _limits(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one source: for each size class, longest first, the bin below which copies are taken; what is missed passes on to the class of shorter ones.
+
+    While over a thousandth of all is missed at the end, the two classes whose other limits leave the least change to these.
+    """
+    classes, sums, bins, at, missed = [], [], [], [], 0.0
+    for size_class, part in group.sort_values(["size_class", "bin"]).groupby("size_class", sort=False):
+        wish = missed + float(part["wish"].sum())
+        classes.append(size_class)
+        sums.append(np.concatenate(([0.0], part["words"].cumsum())))
+        bins.append([0, *(part["bin"] + 1)])
+        at.append(int(np.abs(sums[-1] - wish).argmin()))
+        missed = wish - float(sums[-1][at[-1]])
+    while abs(missed) > group["wish"].sum() / 1000:
+        best = (abs(missed), 0, at[0], 0, at[0])
+        for i, x in enumerate(sums):
+            left = missed - (x - x[at[i]])  # of every limit of the one
+            for j, y in enumerate(sums):
+                if i != j:
+                    to = np.searchsorted(y, y[at[j]] + left).clip(1, len(y) - 1)
+                    to -= np.abs(y[to - 1] - y[at[j]] - left) <= np.abs(y[to] - y[at[j]] - left)
+                    then = np.abs(left - (y[to] - y[at[j]]))
+                    if then.min() < best[0]:
+                        k = int(then.argmin())
+                        best = (float(then[k]), i, k, j, int(to[k]))
+        if best[0] >= abs(missed):
+            break
+        for c, k in (best[1:3], best[3:5]):
+            missed -= float(sums[c][k] - sums[c][at[c]])
+            at[c] = k
+    return pd.DataFrame({"source": [group["source"].iloc[0]] * len(at), "size_class": classes, "limit": [int(b[i]) for b, i in zip(bins, at)]})
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """(source, size_class, limit) from rows(source, size, multiplier, places): copies whose place lies under the limit are taken.
+
+    A class takes the words that its rates ask for, and what longer classes have missed, as near as whole bins allow; so a source misses its
+    target by about half of a bin of its shortest documents, or by less. A task reads at most 64 classes of 2 * MOST * BINS sums of a source, whatever its rows.
+    """
+    words = rows.where("size > 0").select("source", "size", size_class(F.col("size")).alias("size_class"), (F.col("size") * rate(F.col("multiplier"), F.col("size"))).cast(SUM).alias("wish"), F.posexplode("places").alias("j", "bin"))
+    cells = words.groupBy("source", "size_class", "bin").agg(F.sum("size").cast("double").alias("words"), F.sum(F.when(F.col("j") == 0, F.col("wish"))).cast("double").alias("wish"))
+    return cells.groupBy("source").applyInPandas(_limits, "source string, size_class int, limit int")
+
+
+def balance(kinds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kinds' rows with places; sources with words, target and multiplier; limits) for kinds(source, size, key, m): m rows that are equal."""
+    sizes = cut(kinds.groupBy("source", "size").agg(F.sum("m").alias("n")))
+    sources = cut(multipliers(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))), sizes))
+    drop_cut(sizes)
+    rows = _placed(_each(kinds, F.col("m")), sources, _chance(F.col("key"), F.col("j"), F.col("m")))
+    return rows, sources, cut(thresholds(rows))
+
+
+def _placed(rows: DataFrame, sources: DataFrame, chance: Column) -> DataFrame:
+    """rows(source, size) with their source's size and target, and places. One row a source; the join broadcasts them only while they are small."""
+    of = sources.select(F.col("source").alias("__s"), F.col("words").alias("source_size"), "target", "multiplier")
+    return rows.join(of, _same("source", "__s")).drop("__s").withColumn("places", _places(F.col("multiplier"), F.col("size"), chance))
+
+
+def _copies(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows(source, size, places) with copies; texts of size 0 stay once. limits has at most 64 rows a source; the join broadcasts them only while they are small."""
+    at = limits.select(F.col("source").alias("__t"), F.col("size_class").alias("__c"), "limit")
+    joined = rows.join(at, _same("source", "__t") & (size_class(F.col("size")) == F.col("__c")), "left")
+    taken = F.size(F.filter("places", lambda x: x < F.col("limit")))
+    return joined.withColumn("copies", F.when(F.col("limit").isNull(), F.lit(1)).otherwise(taken)).drop("__t", "__c", "limit")
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of a whole row but its maps: rows of equal id share copies only if they are equal."""
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    nulls = F.concat_ws("", *[F.isnull(c).cast("string") for c in whole])  # a null leaves the hash as it was
+    return F.xxhash64(nulls, *whole)
 
 
 def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of every row of docs.
 
-    Null and empty texts have size 0 and take nothing. Null sources are one source, ranked last. Rows of equal id and
-    size get equal copies, so results don't depend on order or partitions. An empty table gives no rows.
+    Null and empty texts have size 0 and take nothing. Null sources are one source, ranked last. Who gets a copy more
+    is decided by a hash of id, source and text; of equal rows as many as their rate asks for, so null and repeated
+    ids meet their target, too. Results don't depend on order or partitions. An empty table gives no rows.
     """
-    narrow = docs.select(F.col(id_).alias("__id"), F.col(source).alias("__source"), F.col(text).alias("__text"))
-    sized = cut(with_sizes(narrow, "__text", "__id", "__source").select(F.col("__id").alias(id_), "source", "size", "size_class", "bucket"))
-    balanced, limits = balance(sized)
-    of = balanced.select(F.col("source").alias("__s"), F.col("words").alias("source_size"), "target")
-    return with_copies(sized, limits).join(of, F.col("source").eqNullSafe(F.col("__s"))).select(
-        id_, "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    own = docs.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    sized = own.select("id", "source", word_count(F.col("text")).alias("size"), _content(own).alias("key"))
+    kinds = cut(sized.groupBy("source", "size", "key", "id").agg(F.count("*").alias("m")))
+    rows, _, limits = balance(kinds)
+    return _copies(rows, limits).select(
+        F.col("id").alias(id_), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def resample(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; rows that it takes no copy of go. Texts are not shuffled."""
+    """docs with every row repeated as often as the mix takes it; rows that it takes no copy of go.
+
+    Texts are not shuffled, but those of rows that are equal in all columns, of which one is repeated for all. A text of size
+    0 has a rate of one and stays once. Columns and their order are kept. An empty table gives no rows.
+    """
     names = docs.columns
-    keep = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)]
-    sized = with_sizes(docs.select(*keep), f"__{names.index(text)}", f"__{names.index(id_)}", f"__{names.index(source)}")
-    _, limits = balance(sized.select("source", "size", "size_class", "bucket"))
-    copied = with_copies(sized, limits).where("copies > 0")
-    return copied.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))
+    sized = docs.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)), F.col(f"`{source}`").alias("source"),
+                        word_count(F.col(f"`{text}`")).alias("size"), _content(docs).alias("key"))
+    kinds = cut(sized.groupBy("source", "size", "key").agg(F.count("*").alias("m")))
+    rows, sources, limits = balance(kinds)
+    own = [F.col(f"__{i}").alias(c) for i, c in enumerate(names)]
+    repeated = kinds.where("m > 1").select(F.col("key").alias("__key"))
+    many = not repeated.isEmpty()
+    single = sized.join(repeated, F.col("key") == F.col("__key"), "left_anti") if many else sized
+    single = _placed(single, sources, _chance(F.col("key"), F.lit(0), F.lit(1)))
+    out = _each(_copies(single, limits), F.col("copies")).select(*own)
+    if many:
+        taken = _copies(rows.where("m > 1"), limits).groupBy("key").agg(F.sum("copies").alias("copies")).withColumnRenamed("key", "__key")
+        firsts = sized.join(repeated, F.col("key") == F.col("__key"), "left_semi").dropDuplicates(["key"])
+        out = out.unionByName(_each(firsts.join(taken, F.col("key") == F.col("__key")), F.col("copies")).select(*own))
+    return out
