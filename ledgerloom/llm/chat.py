@@ -50,10 +50,21 @@ def read(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Kinds of events, in the order in which those of equal seq apply.
+EVENTS = ["message", "regenerate", "edit", "delta", "delete"]
+
+
 def from_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A log in which every row is a whole message of its own."""
-    return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("seq"), F.lit("message").alias("event"),
-                       F.lit(None).cast("string").alias("message"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    """The log that a table of turns stands for: each row opens a message of its own and streams its text into it.
+
+    Messages have ids of their own, so that repeated rows stay apart.
+    """
+    named = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("seq"), F.monotonically_increasing_id().cast("string").alias("message"),
+                        F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    none = F.lit(None).cast("string")
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("event"), role.alias("role"), text.alias("text"))
+    both = F.array(event("message", F.col("role"), none), event("delta", none, F.col("text")))
+    return named.select("conv_id", "seq", "message", F.explode(both).alias("e")).select("conv_id", "seq", "e.event", "message", "e.role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -61,14 +72,17 @@ def fold(events: DataFrame) -> DataFrame:
 
     event: 'message' begins a message or replaces it, 'delta' adds to its text, 'edit' replaces its text, 'regenerate'
     empties it (later deltas write it anew), 'delete' takes it out; others are ignored. A message is known by conv_id and message; its place is
-    its first event's seq; events apply by seq, of equal seq in the order of event, role and text. Events without
-    a message id are messages by themselves. Null roles and texts count as empty. Messages are dealt out by
-    conversation and message, so a long conversation is folded by many tasks; a task holds one message at a time.
+    its first event's seq; events apply by seq, of equal seq in the order of EVENTS, role and text. An event without
+    a message id is a message by itself if it has a text to give ('message', 'delta', 'edit'), else it is ignored. Null
+    roles and texts of such a message stay null, others count as empty. Messages are dealt out by conversation and message, so a long conversation is folded
+    by many tasks; a task holds one message at a time. An empty log gives no rows.
     """
     tune(events.sparkSession)
-    named = events.where("message is not null")
-    alone = events.where("message is null and event = 'message'").select("conv_id", "seq", "role", "text")
-    spread = named.select("conv_id", "message", "seq", "event", "role", "text").repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "event", "role", "text")
+    rank = F.array_position(F.array(*map(F.lit, EVENTS)), F.col("event"))
+    known = events.withColumn("rank", rank).where("rank > 0")
+    alone = known.where("message is null and event in ('message', 'delta', 'edit')").select("conv_id", "seq", "role", "text")
+    named = known.where("message is not null").select("conv_id", "message", "seq", "event", "role", "text", "rank")
+    spread = named.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "rank", "role", "text").drop("rank")
     schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
