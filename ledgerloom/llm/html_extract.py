@@ -20,6 +20,7 @@ UNCLOSED = frozenset("p li dt dd td tr th".split())  # often left open: they hid
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select button option audio video".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Names in class, id or role that mark boilerplate. Words before the noun may qualify it (site-footer) but not
 #: deny or merely mention it (no-sidebar, has-sidebar), and those after it may only name its container or state (nav-menu-list).
 NOISE = re.compile(
@@ -38,14 +39,14 @@ SPACE = re.compile(r"\s+")
 def lines(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
     """(text, weight, in a main element, boilerplate by name around it) of each block of a page, in order, without markup.
 
-    The weight is the block's length outside links; a block inside boilerplate elements has weight -1, and so has one
-    inside an element of a main element that its name marks. Elements so named elsewhere are numbered, and the
-    last item has the numbers of those around the block.
+    The weight is the block's length outside links, of a heading's its whole length; a block inside boilerplate elements
+    has weight -1. A header inside a main element is the article's own heading, whatever its name. Elements that
+    their names mark as boilerplate are numbered, and the last item has the numbers of those around the block.
     """
     out: list[tuple[str, int, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, int]] = []  # open containers, and whether each hides (2), is boilerplate (1), so by name around main elements (3) or main (-1)
+    stack: list[tuple[str, int]] = []  # open containers, and whether each hides (2), is boilerplate (1), so by name (3) or main (-1)
     depth: Counter = Counter()
     of: Counter = Counter()
     named: list[int] = []
@@ -67,7 +68,7 @@ def lines(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
         end = tag.start() if tag else size
         if end > at and not of[2]:
             parts.append(html[at:end])
-            if anchors:
+            if anchors and not any(depth[h] for h in HEADINGS):
                 linked += end - at
         if not tag:
             break
@@ -105,13 +106,13 @@ def lines(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
         if name in UNCLOSED or name in INLINE and name != "span":
             continue
         kind = 2 if name in HIDDEN else 1 if name in BOILERPLATE else -1 if name in MAIN else 0
-        if kind == 1 and name == "header" and of[-1]:
-            kind = 0  # an article's own heading
-        if kind == 0 and name not in ("body", "html") and any(NOISE.fullmatch(x) for a, b, c in MARKS.findall(token) for x in (a or b or c).split()):
-            kind = 1 if of[-1] else 3
-            if kind == 3:
-                names += 1
-                named.append(names)
+        own_header = name == "header" and of[-1]
+        if own_header:
+            kind = 0
+        if kind == 0 and not own_header and name not in ("body", "html") and any(NOISE.fullmatch(x) for a, b, c in MARKS.findall(token) for x in (a or b or c).split()):
+            kind = 3
+            names += 1
+            named.append(names)
         stack.append((name, kind))
         depth[name] += 1
         of[kind] += 1
