@@ -7,10 +7,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .vectors import build_shards, nearest, pack_arrays, stream_queries, valid
+from .common import cut, drop_cut
+from .vectors import LEAST_SHARD, build_shards, nearest, pack_arrays, stream_queries, valid
 
-DEGREE, BEAM_BUILD, BEAM_SEARCH, OPENED, BATCH = 24, 64, 160, 4, 256
+DEGREE, BEAM_BUILD, BEAM_SEARCH, OPENED, BATCH = 32, 128, 192, 4, 256
 
 
 def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,17 +174,24 @@ def search(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, beam
     return np.array(q, np.int64), np.array(v, np.int64), np.array(s, np.float64)
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", shard_rows: int = 16_384, beam: int = BEAM_SEARCH) -> DataFrame:
+def beam_for(shard_rows: int) -> int:
+    """Larger graphs need a wider walk for the same recall: half as much again for each fourfold size."""
+    return int(BEAM_SEARCH * max(1.0, 1 + np.log2(max(1, shard_rows / LEAST_SHARD)) / 4))
+
+
+def neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None, beam: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product that the graphs find for each query, best first, ties to smaller ids.
 
-    Every valid row is in one shard's graph; every query walks every shard, and the shards' results are merged.
+    Every valid row is in one shard's graph; every query walks every shard, and the shards' results are merged. Shards
+    hold about shard_rows vectors (by default shard_size), walks keep `beam` candidates (by default beam_for).
     Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of another length
     than the query's are no candidates. Of rows that repeat an id, one counts; equal vectors under several ids are one
     node and all of its ids are results. Empty tables give no rows.
     """
     vectors = cut(valid(rows, id_, vector, zero=False))
-    asked = cut(valid(queries, id_, vector, zero=False))
-    index, shards = build_shards(vectors, build, shard_rows)
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("least", F.lit(None).cast("double"))
-    copies = max(1, -(-asked.count() // 20_000))
-    return nearest(stream_queries(index, everywhere, lambda index, ids, qs, _: search(index, ids, qs, k, beam), copies), k)
+    nothing = [F.lit(0).alias("home"), F.lit(None).cast("double").alias("least")]
+    asked = cut(valid(queries, id_, vector, zero=False).select("vec_id", "v", "dim", *nothing))
+    index, shards, size = build_shards(vectors, build, shard_rows)
+    drop_cut(vectors)
+    width, copies = beam or beam_for(size), max(1, -(-asked.count() // 20_000))
+    return nearest(stream_queries(index, asked, lambda index, ids, qs, _: search(index, ids, qs, k, width), copies, None, shards), k)

@@ -37,10 +37,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A null or non-finite component stays one, so that the operator leaves its vector out.
-    whole = F.transform("embedding", lambda x: F.when(F.abs(x) < float("inf"), F.floor(x.cast("double") * 256).cast("double")))
-    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", whole.alias("embedding"))
-    return kdtree.top_k(rows, rows.where("vec_id % 50 = 0")).withColumn("score", F.col("score").cast("long"))
+    # A null or non-finite component stays one, so that the operator leaves its vector out. From 2^53 on every double is whole.
+    scaled = lambda x: x.cast("double") * 256
+    floor = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y)
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: floor(scaled(x))).alias("embedding"))
+    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    score = F.greatest(-most - 1, F.least(most, F.col("score")))  # the contract's long ends there
+    return kdtree.top_k(rows, rows.where("vec_id % 50 = 0")).withColumn("score", score.cast("long"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
