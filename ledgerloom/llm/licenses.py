@@ -103,8 +103,9 @@ def scan(docs: DataFrame, text: str = "text", id_: str = "doc_id", notices: dict
     rows = rows.where(F.exists("h", lambda x: x.isin(anchors)))
     hits = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get(F.col("h"), i).isin(anchors))
     starts = [_windows(c, of) for c, of in classes.items()]
-    windows = rows.withColumn("hits", hits).select("id", "row", F.explode(F.concat(*starts)).alias("w"), "h").select(
-        "id", "row", "w.class", "w.start", F.expr("slice(h, w.start + 1, w.width)").alias("win")).withColumn("signature", signature(F.col("win"), bands))
+    # Each window takes its own slice along, not the whole text's shingles.
+    sliced = F.transform(F.concat(*starts), lambda w: F.struct(w["class"].alias("class"), w["start"].alias("start"), F.slice("h", w["start"] + 1, w["width"]).alias("win")))
+    windows = rows.withColumn("hits", hits).select("id", "row", F.explode(sliced).alias("w")).select("id", "row", "w.class", "w.start", "w.win").withColumn("signature", signature(F.col("win"), bands))
 
     def literal(t: dict) -> Column:
         return F.struct(F.lit(t["license"]).alias("license"), F.array(*map(F.lit, t["shingles"])).alias("s"), F.array(*map(F.lit, t["signature"])).alias("m"))

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from .common import cut, tune
 
+CHUNK = 1 << 16
+
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each 64-bit key (Lamping and Veach): of n + 1 shards, 1 / (n + 1) of the keys move, all into the last."""
@@ -59,5 +61,8 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_: str = "doc
     before = sums.select("shard", "part", (F.sum("rows").over(Window.partitionBy("shard").orderBy("part")) - F.col("rows")).alias("base"))
     order = Window.partitionBy("shard", "part").orderBy("id", "size", "text_crc32")
     placed = dealt.withColumn("first", F.sum("n").over(order) - F.col("n")).join(before, ["shard", "part"])
-    slot = F.explode(F.sequence(F.col("base") + F.col("first"), F.col("base") + F.col("first") + F.col("n") - 1)).alias("slot")
-    return placed.select(F.col("id").alias(id_), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    chunked = placed.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    end = F.least(F.col("n"), F.col("begin") + CHUNK) - 1
+    first = F.col("base") + F.col("first")
+    slot = F.explode(F.sequence(first + F.col("begin"), first + end)).alias("slot")
+    return chunked.select(F.col("id").alias(id_), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
