@@ -15,7 +15,7 @@ from oracle import rows_of, rows_of_sql, tables
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import chat, components, hnsw, html_extract, kdtree, licenses, mixing, packing, queries, resemblance, sharding, simhash, toxicity
+from ledgerloom.llm import chat, components, hnsw, html_extract, kdtree, licenses, mixing, packing, queries, resemblance, sharding, simhash, toxicity, vectors
 from ledgerloom.llm.vectors import unpack_arrays
 
 SF = "/root/testdata/sf0.001"
@@ -150,6 +150,24 @@ def test_hnsw_recall_and_exact_scores(spark):
     assert np.allclose(got.score, [at[a] @ at[b] for a, b in zip(got.query_id, got.vec_id)], rtol=0, atol=1e-12)
 
 
+def test_hnsw_recall_over_a_full_shard_of_hard_vectors():
+    """Independent normal components in 64 dimensions: no clusters to follow."""
+    rng, n = np.random.default_rng(3), 16_384
+    vectors, ids = rng.normal(size=(n, 64)), np.arange(n)
+    index = unpack_arrays(hnsw.build(ids, vectors))
+    asked = ids[::80]
+    want = brute(ids, vectors, np.isin(ids, asked), 20)
+    q, v, _ = hnsw.search(index, asked, vectors[asked], 20, hnsw.beam_for(n))
+    recall = [len(set(want[i]) & set(v[q == i].tolist())) / 20 for i in asked.tolist()]
+    assert np.mean(recall) >= 0.95
+
+
+def test_shards_grow_with_the_table(spark):
+    one = spark.createDataFrame([(64,)], "dim int")
+    assert [vectors.shard_size(one, n) for n in (10, 10**6, 2 * 10**6)] == [16_384, 16_384, 2 * 10**6 // 64]
+    assert vectors.shard_size(one, 10**10) <= vectors.MOST_SHARD
+
+
 def test_hnsw_over_many_shards_and_copies(spark):
     rng = np.random.default_rng(1)
     vectors = np.concatenate((rng.normal(size=(700, 16)), np.repeat(rng.normal(size=(1, 16)), 300, 0)))
@@ -183,6 +201,26 @@ def test_kdtree_is_exact(spark, shard_rows):
     assert got.groupby("query_id").vec_id.apply(list).to_dict() == brute(np.arange(600), vectors, np.arange(600) % 50 == 0, 5)
 
 
+@pytest.mark.parametrize("shard_rows", [40, 16_384])
+def test_kdtree_is_exact_beyond_double_precision(spark, tmp_path, shard_rows):
+    rng = np.random.default_rng(7)
+    vectors = np.concatenate((rng.integers(-9, 10, (100, 4)), rng.integers(-(2**33), 2**33, (100, 4)), 2**33 + rng.integers(-3, 4, (50, 4)))).astype(float)
+    rows = list(enumerate(vectors.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in kdtree.top_k(frame, frame.where("vec_id % 50 = 0"), shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((int(r.score), r.vec_id))
+    dot = lambda a, b: sum(int(x) * int(y) for x, y in zip(a, b))
+    assert got == {i: sorted(((dot(q, v), j) for j, v in rows if j != i), key=lambda x: (-x[0], x[1]))[:5] for i, q in rows if i % 50 == 0}
+
+
+def test_kdtree_query_of_large_components(spark, tmp_path):
+    rows = [(0, [4e6, 1.5]), (50, [4e6, -2.25]), (51, [3e38, 1.0]), (52, [-3e38, 1.0]), (53, [1.0, float("inf")])]
+    sf = sf_dir(tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = [tuple(r) for r in queries.op6_kdtree(spark, sf).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 51, 2**63 - 1), (0, 2, 50, 1024000000**2 - 384 * 576), (0, 3, 52, -(2**63)), (50, 1, 51, 2**63 - 1), (50, 2, 0, 1024000000**2 - 384 * 576), (50, 3, 52, -(2**63))]
+
+
 def test_kdtree_boxes_are_tight():
     points = np.random.default_rng(3).normal(size=(1000, 4))
     tree = unpack_arrays(kdtree.build(np.arange(1000), points))
@@ -210,10 +248,75 @@ def test_mix_meets_targets(spark, docs):
 
 def test_targets_stop_at_three_times(spark):
     sources = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), (None, 100)], "source string, words long")
-    got = {r.source: r for r in mixing.rates(mixing.targets(sources)).collect()}
+    got = {r.source: r for r in mixing.targets(sources).collect()}
     assert [got[s].weight for s in ("a", "b", "c", None)] == [1, 2, 3, 1]
     assert got["b"].target == got["c"].target == 30 and got[None].target == 300 and got["a"].target == pytest.approx(760)
-    assert got["a"].rate == pytest.approx(0.76) and got["b"].rate == pytest.approx(3)
+
+
+def slow_multiplier(sizes, target):
+    """The multiplier of a source by bisection over its documents."""
+    low, high = -60.0, np.log(3)
+    for _ in range(200):
+        mid = (low + high) / 2
+        if (sizes * np.minimum(3, np.exp(np.minimum(mid * sizes, 2.1)))).sum() < target:
+            low = mid
+        else:
+            high = mid
+    return (low + high) / 2
+
+
+def test_mix_against_brute_force(spark):
+    """Rates by bisection, copies from the places of a source's documents."""
+    sf, exact = "/root/testdata/sf0.01", 0
+    kinds = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
+    frame = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "source", "text")
+    chance = {r.id: r.u for r in frame.select("id", mixing._chance(mixing._content(frame), F.lit(0), F.lit(1)).alias("u")).collect()}
+    for _, g in kinds.groupby("source"):
+        sizes, target = g["size"].to_numpy(float), g.target.iloc[0]
+        rates = np.minimum(3, np.exp(np.minimum(slow_multiplier(sizes, target) * sizes, 2.1))) if target < 3 * sizes.sum() else np.full(len(g), 3.0)
+        assert (sizes * rates).sum() == pytest.approx(target, rel=1e-6)
+        copies, missed, held = np.ones(len(g)), 0.0, {}
+        for c in sorted({int(x).bit_length() for x in sizes if x}, reverse=True):  # longest first
+            mine = [i for i in range(len(g)) if int(sizes[i]).bit_length() == c]
+            place = {(i, j): int((chance[g.doc_id.iloc[i]] + j - rates[i] + 3) * mixing.BINS) for i in mine for j in range(3)}
+            wish = missed + sum(sizes[i] * rates[i] for i in mine)
+            cuts = [0, *(x + 1 for x in sorted(set(place.values())))]
+            words = [sum(sizes[i] for (i, j), at in place.items() if at < x) for x in cuts]
+            best = int(np.argmin(np.abs(np.array(words) - wish)))
+            missed = wish - words[best]
+            held[c] = [best, cuts, words, place, mine]
+        if abs(missed) > target / 1000:  # two classes more have changed: copies still follow the places in each class
+            assert abs(g.taken.sum() - target) < abs(missed)
+            got = (g.taken / g["size"].clip(lower=1)).to_numpy()
+            for _, _, _, place, mine in held.values():
+                took = [place[i, j] for i in mine for j in range(3) if j < got[i]]
+                assert max(took, default=-1) <= min((place[i, j] for i in mine for j in range(3) if j >= got[i]), default=10**9)
+            continue
+        exact += 1
+        for best, cuts, _, place, mine in held.values():
+            copies[mine] = [sum(place[i, j] < cuts[best] for j in range(3)) for i in mine]
+        assert (g.taken == copies * sizes).all()
+    assert exact >= 10
+
+
+def test_mix_meets_targets_with_null_and_repeated_ids(spark):
+    words = lambda n, x: " ".join([x] * n)
+    rows = [(None, "a", words(8, "n"))] * 1000 + [(7, "b", words(5, "b"))] * 300 + [(i, "c", words(3 + i % 40, f"c{i}")) for i in range(400)] + [(9, None, words(1 + i, "d")) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(frame).toPandas()
+    assert len(got) == len(rows)
+    by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), words=("size", "sum"), longest=("size", "max"))
+    assert (abs(by.taken - by.target) <= by.longest).all() and (got.taken <= 3 * got["size"]).all()
+    again = mixing.resample(frame.repartition(7)).toPandas()
+    for source, g in again.groupby("source", dropna=False):
+        assert g.text.str.split().str.len().sum() == (by.taken[by.index.isna()].iloc[0] if source is None or source != source else by.taken[source])
+
+
+def test_equal_rows_are_repeated_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 10)
+    frame = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10), ("d", 25)], "x string, n long")
+    got = mixing._each(frame, F.col("n")).groupBy("x").agg(F.sort_array(F.collect_list("j")).alias("j")).collect()
+    assert {r.x: r.j for r in got} == {"b": [0], "c": list(range(10)), "d": list(range(25))}
 
 
 def test_mix_of_odd_tables(spark, odd):
@@ -282,6 +385,15 @@ def test_html_keeps_all_of_an_article(inner, text):
     assert html_extract.main_text(page) == text.replace("{p}", long)
 
 
+@pytest.mark.parametrize("head", ["<header class='entry-header'><h1>Title</h1></header>", "<header><h1 class=entry-title><a href=x>Title</a></h1></header>", "<h2><a href=x>Title</a></h2>", "<header id=header class='article-header masthead'><h1>Title</h1></header>"])
+@pytest.mark.parametrize("end", ["<p>{p}</p>", "<p>{p}</p>" + "<p><a href=x>l</a></p>" * 3 + "<p>End.</p>", "<div class='search-results'><p>{p}</p></div>"])
+def test_html_keeps_the_heading_and_the_end_of_an_article(head, end):
+    long = "a long paragraph of words " * 4 + "ends"
+    want = "Title " + {"<p>{p}</p>": long}.get(end, f"{long} l l l End." if "End." in end else long)
+    for tag in ("article", "main"):
+        assert html_extract.main_text(f"<body><header class=site><h1>Site</h1></header><{tag}>{head}{end.replace('{p}', long)}</{tag}><footer>z</footer></body>") == want
+
+
 @pytest.mark.parametrize("mark", ["class='layout no-sidebar'", "class='content has-sidebar'", "class=page-with-side-nav", "id=search-results", "class=social-science", "class=sidebar", "id='widget-2'"])
 @pytest.mark.parametrize("tag", ["article", "div"])
 def test_html_names_around_all_text_do_not_drop_it(mark, tag):
@@ -343,7 +455,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = {i: [*e.ids, 0] for i, e in zip(docs.doc_id, tokenizer.encode_batch([t or "" for t in docs.text], add_special_tokens=False))}
     got = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), with_ids=True).toPandas()
     assert got.sequence_id.is_unique and (got.offset == 0).all() and got.length.map(lambda n: n & (n - 1) == 0 and n <= 1024).all()
@@ -360,7 +471,30 @@ def test_fast_splitter_equals_the_tokenizer(text):
         encoder = _ENCODER
     except NameError:
         encoder = _ENCODER = packing.Encoder()
-    assert encoder(text) == encoder._ids(text)
+    assert encoder._plain(text) == encoder._ids(text)
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "x<|endoftext|", "  <|endoftext|>\u4e2d <|ENDOFTEXT|>", ""])
+def test_added_tokens_have_their_own_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Encoder()(text), "<u4").tolist() == want
+
+
+def test_pieces_leave_in_buckets_of_one_length(spark, docs, tmp_path, monkeypatch):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    pieces = packing.pack(frame, with_ids=True)
+    lengths = [r.length for r in pieces.coalesce(1).collect()]
+    assert sum(a != b for a, b in zip(lengths, lengths[1:])) <= 11 * frame.rdd.getNumPartitions()
+    got = pieces.toPandas().sort_values("sequence_id")
+    assert got.length.is_monotonic_increasing and got.sequence_id.is_unique
+    packing.write_buckets(pieces, f"{tmp_path}/b")
+    back = spark.read.parquet(f"{tmp_path}/b")
+    assert sorted(int(p.name.split("=")[1]) for p in tmp_path.glob("b/length=*")) == sorted(got.length.unique())
+    read = back.toPandas().sort_values("sequence_id")
+    assert read.sequence_id.tolist() == got.sequence_id.tolist() and [len(x) for x in read.ids] == read.length.tolist() == got.length.tolist()
 
 
 def test_packing_of_odd_tables(spark, odd):
@@ -612,6 +746,28 @@ def test_chat_query_against_the_table(spark):
         assert (got.n_turns[i], got.loss_chars[i], got.loss_sha256[i]) == (len(g), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_query_folds_events(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, 2, None, "x"), (None, None, "assistant", r"\### </turn>"), (2, 5, "assistant", "long " * 50_000), (2, 5, "assistant", "b")]
+    sf = sf_dir(tmp_path, conversations=spark.createDataFrame([(*r, 1, "m") for r in rows], "conv_id long, turn long, role string, text string, seq int, message string"))
+    said = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+    events = chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert events.where("message is null").count() == 0 and events.select("message").distinct().count() == len(rows) and events.count() == 2 * len(rows)
+    got = {r.conv_id: r for r in queries.op10_chat(spark, sf).collect()}
+    for conv in (1, None, 2, -7):
+        own = sorted(((t, r or "", x or "") for c, t, r, x in rows + said if c == conv), key=lambda y: (y[0] is not None, y[0] or 0, y[1:]))
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    empty = sf_dir(tmp_path / "e", conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").limit(0))
+    assert [r.conv_id for r in queries.op10_chat(spark, empty).collect()] == [-7]
+
+
+def test_events_without_a_message_id(spark):
+    log = [(1, 0, "delta", None, "user", "d"), (1, 1, "edit", None, "user", "e"), (1, 2, "regenerate", None, None, None), (1, 3, "delete", None, None, None), (1, 4, "message", None, "user", "m"), (1, 5, None, None, "user", "?")]
+    events = spark.createDataFrame(log, "conv_id long, seq long, event string, message string, role string, text string")
+    assert sorted(tuple(r) for r in chat.fold(events).collect()) == [(1, 0, "user", "d"), (1, 1, "user", "e"), (1, 4, "user", "m")]
+
+
 def test_events_fold_into_final_messages(spark):
     log = [(1, 0, "message", "a", "user", "hi"), (1, 1, "message", "b", "assistant", ""), (1, 2, "delta", "b", None, "he"), (1, 4, "delta", "b", None, "llo"), (1, 3, "edit", "a", None, "hi!"),
            (1, 5, "regenerate", "b", None, None), (1, 6, "delta", "b", None, "good day"), (1, 7, "message", "c", "user", "x"), (1, 8, "delete", "c", None, None), (2, 0, "message", None, "user", None), (None, None, "message", None, None, "n"), (1, 9, "typing", "a", None, "?")]
