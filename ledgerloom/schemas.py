@@ -4,18 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _struct(text: str) -> T.StructType:
-    kinds = {"str": T.StringType(), "ts": T.TimestampType(), "dec": T.DecimalType(18, 2), "bool": T.BooleanType(), "long": T.LongType(), "int": T.IntegerType()}
-    return T.StructType([T.StructField(n, kinds[k], True) for n, k in (f.split(":") for f in text.split())])
-
-
 # Names and types of the stored tables' columns.
-TRANSACTIONS = _struct("transaction_id:str account_id:str transaction_date:ts amount:dec currency:str transaction_type:str merchant_name:str merchant_category:str status:str country_code:str ingestion_timestamp:ts natural_key:str natural_key_hash:str is_duplicate:bool")
+TRANSACTIONS = (
+    T.StructType()
+    .add("transaction_id", "string")
+    .add("account_id", "string")
+    .add("transaction_date", "timestamp")
+    .add("amount", "decimal(18,2)")
+    .add("currency", "string")
+    .add("transaction_type", "string")
+    .add("merchant_name", "string")
+    .add("merchant_category", "string")
+    .add("status", "string")
+    .add("country_code", "string")
+    .add("ingestion_timestamp", "timestamp")
+    .add("natural_key", "string")
+    .add("natural_key_hash", "string")
+    .add("is_duplicate", "boolean")
+)
 QUARANTINE = T.StructType([*TRANSACTIONS, T.StructField("error_reason", T.StringType(), True)])
-WATERMARK = _struct("source_name:str last_successful_transaction_date:ts updated_at:ts")
-RUN_LOG = _struct("run_id:str pipeline:str source_type:str source_name:str catalog_name:str schema_name:str started_at:ts completed_at:ts input_records:long valid_records:long quarantine_records:long duplicate_records:long lookback_hours:int watermark_value:ts status:str")
-SUMMARY_WATERMARK = _struct("last_successful_transaction_date:ts updated_at:ts")
+WATERMARK = (
+    T.StructType()
+    .add("source_name", "string")
+    .add("last_successful_transaction_date", "timestamp")
+    .add("updated_at", "timestamp")
+)
+RUN_LOG = (
+    T.StructType()
+    .add("run_id", "string")
+    .add("pipeline", "string")
+    .add("source_type", "string")
+    .add("source_name", "string")
+    .add("catalog_name", "string")
+    .add("schema_name", "string")
+    .add("started_at", "timestamp")
+    .add("completed_at", "timestamp")
+    .add("input_records", "long")
+    .add("valid_records", "long")
+    .add("quarantine_records", "long")
+    .add("duplicate_records", "long")
+    .add("lookback_hours", "integer")
+    .add("watermark_value", "timestamp")
+    .add("status", "string")
+)
+SUMMARY_WATERMARK = (
+    T.StructType()
+    .add("last_successful_transaction_date", "timestamp")
+    .add("updated_at", "timestamp")
+)
 
 # The columns that make a natural key, in order.
 NATURAL_KEY = ("account_id", "transaction_date", "amount", "currency", "transaction_type", "merchant_name", "merchant_category", "status", "country_code")
