@@ -58,18 +58,48 @@ def _checks(name: str, rules: dict) -> Iterable[Column]:
             yield say(here & (F.char_length(c) > rule), " is too long")
 
 
+#: Columns that a source adds to say how records were received: their keys, and values of text fields that are no text.
+AS_RECEIVED = ("record_keys", "record_other")
+
+
+def _property(name: str, rules: dict, received: bool) -> Iterable[Column]:
+    """_checks of a field; of a record as received, none for a key that it lacks, and type and enum alone for a value that is no text."""
+    if not received:
+        yield from _checks(name, rules)
+        return
+    there, other = F.array_contains("record_keys", name), F.col("record_other")[name]
+    for check in _checks(name, rules):
+        yield F.when(there & other.isNull(), check)
+    if "type" in rules:
+        yield F.when(other.isNotNull(), F.concat(F.lit(f"{name}: "), other, F.lit(f" is not of type '{rules['type']}'")))
+    if "enum" in rules:
+        yield F.when(other.isNotNull(), F.concat(F.lit(f"{name}: "), other, F.lit(f" is not one of {rules['enum']!r}")))
+
+
 def errors(columns: list[str], codes: list[str], contract: dict = CONTRACT) -> Column:
-    """All messages of a record, in order: missing and extra fields of the data set, each field's keywords, the calendar, the country."""
-    out = [F.lit(f"record: '{n}' is a required property") for n in contract.get("required", []) if n not in columns]
-    if contract.get("additionalProperties") is False:
-        out += [F.lit(f"record: Additional properties are not allowed ({n!r} was unexpected)") for n in columns if n not in contract["properties"]]
-    for name, rules in contract["properties"].items():
-        if name in columns:
-            out += _checks(name, rules)
+    """All messages of a record, in order: missing and extra fields, each field's keywords, the calendar, the country.
+
+    Fields are those of the data set, `columns`; where the AS_RECEIVED columns are among these, those of each record.
+    """
+    received, names = all(c in columns for c in AS_RECEIVED), [c for c in columns if c not in AS_RECEIVED]
+    missing = lambda n: f"record: '{n}' is a required property"
+    closed = contract.get("additionalProperties") is False
+    extra = lambda n: F.concat(F.lit("record: Additional properties are not allowed ('"), n, F.lit("' was unexpected)"))
+    if received:
+        parts = [F.when(~F.array_contains("record_keys", n), F.lit(missing(n))) for n in contract.get("required", [])]
+        out = F.array(*parts)
+        if closed:
+            unknown = F.array_except("record_keys", F.array(*map(F.lit, contract["properties"])))
+            out = F.concat(out, F.transform(unknown, extra))
+    else:
+        parts = [F.lit(missing(n)) for n in contract.get("required", []) if n not in names]
+        parts += [extra(F.lit(n)) for n in names if closed and n not in contract["properties"]]
+        out = F.array(*parts).cast("array<string>")
+    each = [c for name, rules in contract["properties"].items() if name in names for c in _property(name, rules, received)]
     date, country = F.col("transaction_date"), F.col("country_code")
-    out.append(F.when((date != "") & date.try_cast("timestamp").isNull(), F.concat(F.lit("transaction_date: invalid calendar datetime "), date)))
-    out.append(F.when((country != "") & ~country.isin(codes), F.concat(F.lit("country_code: invalid assigned ISO code "), country)))
-    return F.filter(F.array(*out), lambda m: m.isNotNull())
+    each.append(F.when((date != "") & date.try_cast("timestamp").isNull(), F.concat(F.lit("transaction_date: invalid calendar datetime "), date)))
+    each.append(F.when((country != "") & ~country.isin(codes), F.concat(F.lit("country_code: invalid assigned ISO code "), country)))
+    return F.filter(F.concat(out, F.array(*each)), lambda m: m.isNotNull())
 
 
 def reason(messages: Column) -> Column:

@@ -12,11 +12,27 @@ from urllib.request import Request, urlopen
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schemas import FIELDS
+from ..schemas import CONTRACT, FIELDS
 
 ATTEMPTS, BACKOFF_S, MOST_DELAY_S, PAGE_ROWS = 5, 1.0, 300.0, 100
 
 
+class Number(str):
+    """A JSON number as it was written."""
+
+
+def shown(value: object) -> str:
+    """A value as messages show it."""
+    return str(value) if isinstance(value, Number) else repr(value)
+
+
+def as_received(record: dict) -> tuple[list[str], dict[str, str]]:
+    """(its keys but the surrogate id, the values of text fields that are no text): what the contract has to see of a record beside its texts."""
+    texts = [f for f, rules in CONTRACT["properties"].items() if rules["type"] == "string" and f != "transaction_date"]
+    other = {f: shown(record[f]) for f in texts if record.get(f) is not None and (isinstance(record[f], Number) or not isinstance(record[f], str))}
+    return [k for k in record if k != "id"], other
+
+
 def query(offset: int, start: str | None, inclusive: bool, limit: int = PAGE_ROWS) -> str:
     """Ascending by date and then id, so that equal dates have one order; the mark is pushed to the server."""
     params = {"order": "transaction_date.asc,transaction_id.asc", "limit": limit, "offset": offset}
@@ -30,7 +46,7 @@ def fetch(url: str, api_key: str, backoff: float = BACKOFF_S) -> list[dict]:
     for attempt in range(ATTEMPTS):
         try:
             with urlopen(Request(url, headers={"apikey": api_key, "Authorization": f"Bearer {api_key}"}), timeout=60) as answer:
-                return json.loads(answer.read(), parse_float=str, parse_int=str)
+                return json.loads(answer.read(), parse_float=Number, parse_int=Number)
         except (HTTPError, URLError) as e:
             if attempt + 1 == ATTEMPTS or isinstance(e, HTTPError) and e.code < 500 and e.code != 429:
                 raise
@@ -50,7 +66,7 @@ class _Reader(DataSourceReader):
         limit = int(o.get("limit", PAGE_ROWS))
         while page := fetch(f"{o['url']}?{query(offset, o.get('start'), o.get('inclusive', 'true') == 'true', limit)}", o["apikey"], float(o.get("backoff", BACKOFF_S))):
             for record in page:
-                yield (*(None if record.get(f) is None else str(record[f]) for f in FIELDS), offset + 1)
+                yield (*(None if record.get(f) is None else str(record[f]) for f in FIELDS), *as_received(record), offset + 1)
                 offset += 1
             if len(page) > limit:
                 raise ValueError("a page holds more rows than asked for")
@@ -62,7 +78,7 @@ class RestTransactions(DataSource):
         return "rest_transactions"
 
     def schema(self) -> str:
-        return ", ".join(f"{f} string" for f in FIELDS) + ", batch_seq long"
+        return ", ".join(f"{f} string" for f in FIELDS) + ", record_keys array<string>, record_other map<string,string>, batch_seq long"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
