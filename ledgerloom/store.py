@@ -3,18 +3,40 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+
+#: A bucket is merged when so many changes lie on it; buckets are doubled when they hold more than so many bytes on average.
+MOST_CHANGES, BUCKET_BYTES = 8, 256 << 20
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder that all executors see: in spark.checkpoint.dir, or a temporary one of a local master."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/ledger-{uuid.uuid4().hex}"
 
 
 class ParquetStore:
     """Tables under a root folder. A table is the files that its manifest names; a commit replaces the manifest.
 
-    Rows lie in hash buckets of the key. An upsert rewrites only buckets that its source touches; a reader sees the
-    manifest before or after it, never a mixture. One writer at a time.
+    Rows lie in hash buckets of the key. An upsert writes its rows alone, as a change on each bucket that it touches;
+    a reader puts the latest change over what lies below, so a load costs what it brings, not what is stored. A bucket
+    with more than MOST_CHANGES is merged by the upsert that finds it so. The number of buckets doubles as a table grows past
+    BUCKET_BYTES a bucket. A reader sees the manifest before or after a commit, never a mixture; files that a commit
+    leaves out are removed by the commit after it. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
@@ -34,17 +56,22 @@ class ParquetStore:
         finally:
             stream.close()
 
-    def _commit(self, table: str, schema: T.StructType, files: dict[str, list[str]], keys: list[str]) -> None:
+    def _commit(self, table: str, schema: T.StructType, files: dict[str, list[str]], keys: list[str], buckets: int, old: dict | None, merged: dict[str, list[str]] | None = None) -> None:
+        """Make files the table's: {bucket: paths, oldest first}. merged: those that this commit has merged into them."""
+        now = {p for of in files.values() for p in of}
+        retired = sorted({p for held in ((old or {}).get("files", {}), merged or {}) for of in held.values() for p in of} - now)
         fs, path = self._fs(f"{self.root}/{table}/_manifest.json")
         _, draft = self._fs(f"{self.root}/{table}/_manifest-{uuid.uuid4().hex}")
         stream = fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "files": files, "keys": keys}).encode()))
+        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "files": files, "keys": keys, "buckets": buckets, "retired": retired}).encode()))
         stream.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else self.spark._jvm.java.net.URI("file:///"), self.spark._jsc.hadoopConfiguration())
         renames = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         renames[0] = options
         context.rename(draft, path, renames)
+        for gone in (old or {}).get("retired", []):  # a reader of the manifest before this one may still hold those of `old`
+            fs.delete(self._fs(gone)[1], True)
 
     def exists(self, table: str) -> bool:
         return self._manifest(table) is not None
@@ -56,47 +83,81 @@ class ParquetStore:
         return self._read(held, held["files"])
 
     def _read(self, held: dict, files: dict[str, list[str]]) -> DataFrame:
-        schema, paths = T.StructType.fromJson(held["schema"]), [p for of in files.values() for p in of]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        schema, keys = T.StructType.fromJson(held["schema"]), held["keys"]
+        load = lambda paths: self.spark.read.schema(schema).parquet(*paths)
+        first = [of[0] for of in files.values()]
+        later = [p for of in files.values() for p in of[1:]]
+        if not first:
+            return self.spark.createDataFrame([], schema)
+        if not keys or not later:
+            return load(first + later)
+        # A change's folder is named by the time of its write; of a key's changes the last counts.
+        folder = F.regexp_extract("_metadata.file_path", r"/data-(\d+)-", 1)
+        changes = load(later).withColumn("__at", folder)
+        known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__at").desc()))
+        newest = changes.where(known).withColumn("__n", rank).where("__n = 1").drop("__n", "__at")
+        below = load(first).join(newest.select(*keys), list(keys), "left_anti").select(*schema.names)
+        return below.unionByName(newest.select(*schema.names)).unionByName(changes.where(~known).select(*schema.names))
 
     def create(self, table: str, schema: T.StructType, keys: list[str] = ()) -> None:
         if not self.exists(table):
-            self._commit(table, schema, {}, list(keys))
+            self._commit(table, schema, {}, list(keys), self.buckets, None)
+
+    def _bucket(self, keys: list[str], buckets: int):
+        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
 
-    def _write(self, table: str, df: DataFrame, keys: list[str], sort: list[str]) -> dict[str, list[str]]:
+    def _write(self, table: str, df: DataFrame, keys: list[str], sort: list[str], buckets: int, split: int = 8) -> dict[str, list[str]]:
         """Bucket folders that df has been written to. Files are sorted by the layout columns, so their statistics prune."""
-        path = f"{self.root}/{table}/data-{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int") if keys else F.lit(0)
-        out = df.withColumn("__b", bucket)
-        out = out.repartition("__b", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(8))) if keys else out
+        path = f"{self.root}/{table}/data-{time.time_ns():020d}-{uuid.uuid4().hex}"
+        out = df.withColumn("__b", self._bucket(keys, buckets))
+        out = out.repartition("__b", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(split))) if keys else out
         out.sortWithinPartitions("__b", *sort).write.partitionBy("__b").parquet(path)
         fs, p = self._fs(path)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
         return {n.removeprefix("__b="): [f"{path}/{n}"] for n in names if n.startswith("__b=")}
 
+    def _bytes(self, files: dict[str, list[str]]) -> int:
+        total = 0
+        for path in (p for of in files.values() for p in of):
+            fs, p = self._fs(path)
+            total += fs.getContentSummary(p).getLength()
+        return total
+
     def replace(self, table: str, df: DataFrame, keys: list[str] = (), sort: list[str] = ()) -> None:
-        self._commit(table, df.schema, self._write(table, df, list(keys), list(sort)), list(keys))
+        old = self._manifest(table)
+        buckets = (old or {}).get("buckets", self.buckets)
+        self._commit(table, df.schema, self._write(table, df, list(keys), list(sort), buckets), list(keys), buckets, old)
 
     def append(self, table: str, df: DataFrame) -> None:
-        held = self._manifest(table) or {"files": {}, "keys": []}
+        """Add rows to a table without keys."""
+        held = self._manifest(table) or {"files": {}, "keys": [], "buckets": self.buckets}
+        if held["keys"]:
+            raise ValueError(f"{table} has keys {held['keys']}: rows are upserted into it")
         files = dict(held["files"])
-        for b, paths in self._write(table, df, held["keys"], []).items():
+        for b, paths in self._write(table, df, [], [], held["buckets"]).items():
             files[b] = files.get(b, []) + paths
-        self._commit(table, df.schema, files, held["keys"])
+        self._commit(table, df.schema, files, [], held["buckets"], held)
 
     def upsert(self, table: str, source: DataFrame, keys: list[str], sort: list[str] = ()) -> None:
         """Rows of source replace those of equal keys, and others are added. Keys occur once in source; null keys never match."""
-        held = self._manifest(table)
+        held, keys = self._manifest(table), list(keys)
         if held is None or not held["files"]:
             return self.replace(table, source, keys, sort)
-        if held["keys"] != list(keys):
+        if held["keys"] != keys:
             raise ValueError(f"{table} is bucketed by {held['keys']}")
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        touched = {str(r[0]) for r in source.select(bucket).distinct().collect()}  # at most self.buckets
-        old = self._read(held, {b: p for b, p in held["files"].items() if b in touched})
-        merged = old.join(source.select(*keys), list(keys), "left_anti").unionByName(source)
-        new = self._write(table, merged.select(*old.columns), list(keys), list(sort))
-        self._commit(table, old.schema, {**{b: p for b, p in held["files"].items() if b not in touched}, **new}, list(keys))
+        schema, buckets = T.StructType.fromJson(held["schema"]), held.get("buckets", self.buckets)
+        files = dict(held["files"])
+        for b, paths in self._write(table, source.select(*schema.names), keys, list(sort), buckets, split=1).items():
+            files[b] = files.get(b, []) + paths
+        size, written = self._bytes(files), dict(files)
+        if size > 2 * buckets * BUCKET_BYTES:
+            while size > buckets * BUCKET_BYTES:
+                buckets *= 2
+            files = self._write(table, self._read(held, files), keys, list(sort), buckets)
+        elif full := {b: of for b, of in files.items() if len(of) > MOST_CHANGES + 1}:
+            files |= self._write(table, self._read(held, full), keys, list(sort), buckets)
+        self._commit(table, schema, files, keys, buckets, held, written)
 
 
 class CatalogStore:
