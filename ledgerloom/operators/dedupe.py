@@ -17,11 +17,12 @@ def flag_duplicates(staged: DataFrame, existing: DataFrame, key: str = "natural_
     again = Window.partitionBy(key, id_).orderBy(order)
     in_batch = (F.count(id_).over(earlier) > 0) & (F.row_number().over(again) == 1)
     keys = existing.where(F.col(key).isNotNull() & F.col(id_).isNotNull()).select(F.col(key).alias("__k"), F.col(id_).alias("__i"))
-    known = keys.groupBy("__k").agg(F.lit(True).alias("__known"))
-    own = keys.distinct().withColumn("__own", F.lit(True))
+    # Only history with a key of the batch goes on: the batch's keys are the small side, by their measured size.
+    near = keys.join(staged.select(F.col(key).alias("__k")).distinct(), "__k", "left_semi").groupBy("__k", "__i").agg(F.lit(True).alias("__own"))
+    known = near.groupBy("__k").agg(F.lit(True).alias("__known"))
     frame = staged.drop("is_duplicate").withColumn("__batch", in_batch)
     frame = frame.join(known, F.col(key) == F.col("__k"), "left").drop("__k")
-    frame = frame.join(own, (F.col(key) == F.col("__k")) & (F.col(id_) == F.col("__i")), "left")
+    frame = frame.join(near, (F.col(key) == F.col("__k")) & (F.col(id_) == F.col("__i")), "left")
     before = F.col("__known").isNotNull() & F.col("__own").isNull()
     flagged = F.col(id_).isNotNull() & (F.col("__batch") | before)
     return frame.withColumn("is_duplicate", flagged).drop("__batch", "__k", "__i", "__known", "__own")

@@ -18,6 +18,11 @@ def start_value(mark: datetime | None, lookback_hours: int = 0) -> str | None:
     return None if mark is None else (mark - timedelta(hours=lookback_hours)).isoformat().replace("+00:00", "Z")
 
 
+def advances(mark: datetime | None, new: datetime | None, monotonic: bool = False) -> bool:
+    """Whether a load writes a new mark: one that is there, and if marks are monotonic none before the old."""
+    return new is not None and not (monotonic and mark is not None and new.astimezone(timezone.utc) < mark)
+
+
 def past_mark(rows: DataFrame, start: str, inclusive: bool, known_ids: DataFrame | None = None, date: str = "transaction_date", id_: str = "transaction_id") -> DataFrame:
     """Rows dated after start (at it too, if inclusive), and undatable ones whose id isn't known yet.
 

@@ -14,10 +14,10 @@ def included(transactions: DataFrame, quarantine: DataFrame | None = None) -> Da
     return rows if quarantine is None else rows.join(quarantine.select("transaction_id"), "transaction_id", "left_anti")
 
 
-def past(rows: DataFrame, start: str | None, inclusive: bool = False) -> DataFrame:
+def past(rows: DataFrame, start: str | None, inclusive: bool = False, by: str = "transaction_date") -> DataFrame:
     if start is None:
         return rows
-    at, from_ = F.col("transaction_date"), F.lit(start).cast("timestamp")
+    at, from_ = F.col(by), F.lit(start).cast("timestamp")
     return rows.where(at >= from_ if inclusive else at > from_)
 
 
@@ -47,13 +47,15 @@ def daily_summary(rows: DataFrame) -> DataFrame:
                        (F.col("total_credit_amount") - F.col("total_debit_amount")).cast(MONEY).alias("net_amount"), "transaction_count", "distinct_merchants", "top_category", "currencies", "updated_at")
 
 
-def changed_keys(rows: DataFrame, start: str, inclusive: bool = False) -> DataFrame:
-    return past(rows, start, inclusive).select("account_id", F.col("transaction_date").cast("date").alias("day")).distinct()
+def changed_keys(rows: DataFrame, start: str, inclusive: bool = False, by: str = "transaction_date") -> DataFrame:
+    return past(rows, start, inclusive, by).select("account_id", F.col("transaction_date").cast("date").alias("day")).distinct()
 
 
-def changed_summary(rows: DataFrame, start: str, inclusive: bool = False) -> DataFrame:
+def changed_summary(rows: DataFrame, start: str, inclusive: bool = False, by: str = "transaction_date") -> DataFrame:
     """daily_summary of all rows of those accounts and days that have any row past start."""
-    keys = changed_keys(rows, start, inclusive).withColumnsRenamed({"account_id": "__a", "day": "__d"})
+    if start is None:
+        raise ValueError("an incremental summary needs a start value")
+    keys = changed_keys(rows, start, inclusive, by).withColumnsRenamed({"account_id": "__a", "day": "__d"})
     return daily_summary(rows.join(keys, (F.col("account_id") == F.col("__a")) & (F.col("transaction_date").cast("date") == F.col("__d")), "left_semi"))
 
 
