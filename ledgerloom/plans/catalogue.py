@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ingest
 from ..functions import contract, normalize
 from ..operators import dedupe, incremental, summary
-from ..schemas import CONTRACT
+from ..schemas import CONTRACT, QUARANTINE, TRANSACTIONS
+from ..store import ParquetStore, scratch_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,10 +54,10 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_text"))
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view as a source gives it: the contract's fields as texts, and batch_seq."""
-    t = view(spark, sf_dir).withColumn("transaction_date", F.col("date_text")).withColumn("amount", F.col("amount").cast("string"))
-    return t.select(*CONTRACT["properties"], "batch_seq")
+def raw(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The view as a source gives it: the contract's fields as texts, and batch_seq; on demand ts, the date as it was."""
+    t = view(spark, sf_dir).withColumn("ts", F.col("transaction_date")).withColumn("transaction_date", F.col("date_text")).withColumn("amount", F.col("amount").cast("string"))
+    return t.select(*CONTRACT["properties"], "batch_seq", *more)
 
 
 _ENUM = {n: "[" + ", ".join(f"''{v}''" for v in r["enum"]) + "]" for n, r in CONTRACT["properties"].items() if "enum" in r}
@@ -71,8 +74,8 @@ _REASON = f"""concat_ws('; ', CASE WHEN NOT regexp_matches(account_id, '^ACC-[0-
   CASE WHEN country_code = 'UK' THEN 'country_code: invalid assigned ISO code UK' END)"""
 
 
-def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw(spark, sf_dir)
+def _checked(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    rows = raw(spark, sf_dir, *more)
     return rows.withColumn("error_reason", contract.reason(contract.errors(list(CONTRACT["properties"]), contract.country_codes(spark))))
 
 
@@ -137,16 +140,14 @@ def q05_natural_key_hash(spark, sf_dir):
   count(*) FILTER (dup) AS duplicate_records, max(transaction_date) AS watermark_value FROM (SELECT *, {_REASON} AS e,
   count(transaction_id) OVER (PARTITION BY {_COARSE} ORDER BY batch_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS dup FROM t)""")
 def q06_run_counts(spark, sf_dir):
-    t = _coarse(view(spark, sf_dir))
-    flagged = dedupe.flag_duplicates(t, t.limit(0)).select("transaction_id", "is_duplicate", "transaction_date")
-    reasons = _checked(spark, sf_dir).select("transaction_id", "error_reason")
-    return summary.run_counts(flagged.join(reasons, "transaction_id"))
+    checked = _coarse(_checked(spark, sf_dir, "ts").withColumn("transaction_date", F.col("ts")))
+    return summary.run_counts(dedupe.flag_duplicates(checked, checked.limit(0)))
 
 
 @query("SELECT transaction_id FROM t WHERE NOT EXISTS (SELECT 1 FROM t q WHERE q.country_code = 'UK' AND q.transaction_id = t.transaction_id)")
 def q07_anti_join_quarantine(spark, sf_dir):
-    t = view(spark, sf_dir)
-    return t.join(t.where("country_code = 'UK'").select("transaction_id"), "transaction_id", "left_anti").select("transaction_id")
+    t = view(spark, sf_dir).withColumns({"status": F.lit("completed"), "is_duplicate": F.lit(False)})
+    return summary.included(t, t.where("country_code = 'UK'")).select("transaction_id")
 
 
 @query(f"""SELECT transaction_id, EXISTS (SELECT 1 FROM (SELECT *, {_COARSE} AS k FROM t) x WHERE x.event_id % 2 = 0 AND x.k = y.k)
@@ -163,8 +164,6 @@ def q09_past_mark_exclusive(spark, sf_dir):
 
 @query("SELECT transaction_id FROM t WHERE transaction_date >= TIMESTAMP '2024-01-19 18:00:00'")
 def q10_past_mark_inclusive(spark, sf_dir):
-    from datetime import datetime, timezone
-
     start = incremental.start_value(datetime(2024, 1, 20, tzinfo=timezone.utc), 6)
     return incremental.past_mark(view(spark, sf_dir), start, True).select("transaction_id")
 
@@ -179,8 +178,10 @@ def q11_replay_guard(spark, sf_dir):
 def q12_upsert_result(spark, sf_dir):
     t = view(spark, sf_dir).select("transaction_id", "amount", "event_id")
     old, new = t.where("event_id % 2 = 0"), t.where("event_id % 3 = 0").withColumn("amount", (F.col("amount") + 1).cast("decimal(18,2)"))
-    merged = old.join(new.select("transaction_id"), "transaction_id", "left_anti").unionByName(new)
-    return merged.select("transaction_id", F.col("amount").cast("decimal(19,2)").alias("amount"))
+    store = ParquetStore(spark, scratch_root(spark))
+    store.upsert("t", old, ["transaction_id"])
+    store.upsert("t", new, ["transaction_id"])
+    return store.read("t").select("transaction_id", F.col("amount").cast("decimal(19,2)").alias("amount"))
 
 
 @query("""SELECT account_id, merchant_category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY s DESC, merchant_category) AS r
@@ -231,5 +232,125 @@ def q20_extract_between(spark, sf_dir):
 
 @query("SELECT account_id, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies, count(DISTINCT merchant_name) AS merchants FROM t GROUP BY 1")
 def q21_currency_list(spark, sf_dir):
+    t = view(spark, sf_dir).withColumn("transaction_date", F.expr("TIMESTAMP_NTZ '2024-01-01'"))  # one day holds all
+    return summary.daily_summary(t).select("account_id", "currencies", F.col("distinct_merchants").alias("merchants"))
+
+
+#: A record that the contract allows, but for what a row of events changes by event_id % 8.
+_FINE = {"account_id": "ACC-1001", "currency": "EUR", "transaction_type": "debit", "merchant_category": "travel", "status": "completed", "country_code": "GB"}
+
+
+def _say(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""SELECT transaction_id, CASE event_id % 8
+  WHEN 0 THEN {_say("account_id: None is not of type 'string'")}
+  WHEN 1 THEN {_say("amount: 'abc' is not of type 'number'")}
+  WHEN 2 THEN 'amount: Decimal(''' || amount || '5'') is not a multiple of Decimal(''0.01'')'
+  WHEN 3 THEN 'amount: Decimal(''-' || amount || ''') is less than or equal to the minimum of 0'
+  WHEN 4 THEN {_say("merchant_name: '' is too short; merchant_name: '' does not match " + repr(CONTRACT["properties"]["merchant_name"]["pattern"]))}
+  WHEN 5 THEN {_say("country_code: 'GBR' does not match '^[A-Z]{2}$'; country_code: 'GBR' is too long; country_code: invalid assigned ISO code GBR")}
+  WHEN 6 THEN 'transaction_date: invalid calendar datetime 2024-02-31T10:00:00Z'
+  ELSE {_say("transaction_type: None is not of type 'string'; transaction_type: None is not one of ['debit', 'credit']")} END AS error_reason FROM t""")
+def q22_contract_keywords(spark, sf_dir):
+    t = raw(spark, sf_dir).withColumns({k: F.lit(v) for k, v in _FINE.items()})
+    at = lambda n, name, value: F.when(F.col("batch_seq") % 8 == n, value).otherwise(F.col(name))
+    none = F.lit(None).cast("string")
+    t = t.withColumns({
+        "account_id": at(0, "account_id", none), "merchant_name": at(4, "merchant_name", F.lit("")), "country_code": at(5, "country_code", F.lit("GBR")),
+        "transaction_date": at(6, "transaction_date", F.lit("2024-02-31T10:00:00Z")), "transaction_type": at(7, "transaction_type", none),
+        "amount": F.expr("CASE batch_seq % 8 WHEN 1 THEN 'abc' WHEN 2 THEN amount || '5' WHEN 3 THEN '-' || amount ELSE amount END")})
+    return t.select("transaction_id", contract.reason(contract.errors(list(CONTRACT["properties"]), contract.country_codes(spark))).alias("error_reason"))
+
+
+@query(f"""SELECT transaction_id, {_say("record: 'country_code' is a required property; record: Additional properties are not allowed ('note' was unexpected)")} AS error_reason FROM t""")
+def q23_missing_and_extra_fields(spark, sf_dir):
+    t = raw(spark, sf_dir).withColumns({k: F.lit(v) for k, v in _FINE.items()}).drop("country_code").withColumn("note", F.lit("x"))
+    names = [c for c in t.columns if c != "batch_seq"]
+    return normalize.with_normal_fields(t).select("transaction_id", contract.reason(contract.errors(names, contract.country_codes(spark))).alias("error_reason"))
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN {_say("record: 'status' is a required property")}
+  WHEN 1 THEN {_say("record: Additional properties are not allowed ('note' was unexpected)")}
+  WHEN 2 THEN 'transaction_id: ' || event_id || ' is not of type ''string''' END AS error_reason FROM t""")
+def q24_records_as_received(spark, sf_dir):
+    """Missing and extra keys and values of another type, record by record, as the REST source reports them."""
+    t = raw(spark, sf_dir).withColumns({k: F.lit(v) for k, v in _FINE.items()})
+    keys, n = F.array(*map(F.lit, CONTRACT["properties"])), F.col("batch_seq") % 4
+    none = F.lit(None).cast("map<string,string>")
+    t = t.withColumns({
+        "record_keys": F.when(n == 0, F.array_remove(keys, "status")).when(n == 1, F.array_append(keys, "note")).otherwise(keys),
+        "record_other": F.when(n == 2, F.create_map(F.lit("transaction_id"), F.col("batch_seq").cast("string"))).otherwise(none), "status": F.when(n != 0, F.col("status"))})
+    names = [*CONTRACT["properties"], *contract.AS_RECEIVED]
+    return t.select(F.col("batch_seq").alias("event_id"), contract.reason(contract.errors(names, contract.country_codes(spark))).alias("error_reason"))
+
+
+def _stored(t: DataFrame) -> DataFrame:
+    """The view as the transactions table holds it."""
+    t = t.withColumns({"natural_key": F.lit(None), "natural_key_hash": F.lit(None), "is_duplicate": F.lit(False)})
+    return t.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSACTIONS))
+
+
+@query(_summary_sql(_DONE))
+def q25_summary_refresh(spark, sf_dir):
+    """A full summary of the rows up to a day, then a refresh after the others have come: changed groups are merged by account and day."""
+    store, gold, s = ParquetStore(spark, scratch_root(spark)), ParquetStore(spark, scratch_root(spark)), ingest.Settings()
     t = view(spark, sf_dir)
-    return t.groupBy("account_id").agg(F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"), F.countDistinct("merchant_name").alias("merchants"))
+    before = F.col("transaction_date") <= F.expr("TIMESTAMP_NTZ '2024-01-20'")
+    ingest.ensure_tables(store, s)
+    store.upsert(s.quarantine_table, _stored(t.where("country_code = 'UK'")).withColumn("error_reason", F.lit("x")).select(*QUARANTINE.names), ["transaction_id"])
+    store.upsert(s.transactions_table, _stored(t.where(before)), ["transaction_id"])
+    ingest.run_summary(spark, store, s, out=gold)
+    store.upsert(s.transactions_table, _stored(t.where(~before)), ["transaction_id"])
+    ingest.run_summary(spark, store, s, out=gold)
+    return gold.read(s.output_table).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("SELECT 's' || s AS source_name, transaction_date AS mark FROM (SELECT *, event_id % 3 AS s, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id DESC) AS r FROM t) WHERE r = 1")
+def q26_latest_mark(spark, sf_dir):
+    marks = view(spark, sf_dir).selectExpr("'s' || event_id % 3 AS source_name", "CAST(transaction_date AS TIMESTAMP) AS last_successful_transaction_date", "timestamp_seconds(event_id) AS updated_at")
+    found = [(s, incremental.latest_mark(marks, s)) for s in ("s0", "s1", "s2", "none")]
+    return spark.createDataFrame([x for x in found if x[1]], "source_name string, mark timestamp").withColumn("mark", F.col("mark").cast("timestamp_ntz"))
+
+
+_LOADED = f"""SELECT *, nullif(concat_ws('; ', CASE WHEN NOT regexp_matches(account_id, '^ACC-[0-9]{{4}}$') THEN 'account_id: ''' || account_id || ''' does not match ''^ACC-\\\\d{{4}}$''' END,
+  {_not_in('currency')}, CASE WHEN country_code = 'UK' THEN 'country_code: invalid assigned ISO code UK' END), '') AS error_reason FROM t"""
+
+
+def _load(spark: SparkSession, sf_dir: str) -> tuple[ParquetStore, ingest.Settings]:
+    """The view taken in by two runs of the job: all rows, and later those of even ids again."""
+    store, s = ParquetStore(spark, scratch_root(spark)), ingest.Settings(source_name="events")
+    rows = raw(spark, sf_dir).withColumn("merchant_category", F.lit("travel"))
+    for i, part in enumerate((rows, rows.where("batch_seq % 2 = 0"))):
+        ingest.run_ingest(spark, store, s, raw=part, run_ts=datetime(2024, 3, 1 + i, tzinfo=timezone.utc), run_id=f"run-{i}")
+    return store, s
+
+
+@query(f"""SELECT transaction_id, CASE WHEN error_reason IS NULL THEN 'transactions' ELSE 'quarantine' END AS kept_in, error_reason, amount, date_trunc('second', transaction_date) AS transaction_date, false AS is_duplicate,
+  CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-03-02' ELSE TIMESTAMP '2024-03-01' END AS ingestion_timestamp FROM ({_LOADED})""")
+def q27_ingested_tables(spark, sf_dir):
+    store, s = _load(spark, sf_dir)
+
+    def kept(table: str, reason) -> DataFrame:
+        at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+        return store.read(table).select("transaction_id", F.lit(table).alias("kept_in"), reason.alias("error_reason"), "amount", at("transaction_date"), "is_duplicate", at("ingestion_timestamp"))
+
+    return kept(s.transactions_table, F.lit(None).cast("string")).unionByName(kept(s.quarantine_table, F.col("error_reason")))
+
+
+@query(f"""SELECT 'run-' || i AS run_id, count(*) AS input_records, count(*) FILTER (error_reason IS NULL) AS valid_records, count(*) FILTER (error_reason IS NOT NULL) AS quarantine_records,
+  CAST(0 AS BIGINT) AS duplicate_records, date_trunc('second', max(transaction_date)) AS watermark_value, 'success' AS status, (SELECT date_trunc('second', max(transaction_date)) FROM t WHERE event_id % 2 = 0) AS mark
+  FROM ({_LOADED}) x JOIN (VALUES (0), (1)) r(i) ON i = 0 OR event_id % 2 = 0 GROUP BY i""")
+def q28_run_log_and_mark(spark, sf_dir):
+    store, s = _load(spark, sf_dir)
+    mark = incremental.latest_mark(store.read(s.watermark_table), "events")
+    log = store.read(s.control_table).select("run_id", "input_records", "valid_records", "quarantine_records", "duplicate_records", F.col("watermark_value").cast("timestamp_ntz").alias("watermark_value"), "status")
+    return log.withColumn("mark", F.lit(mark.replace(tzinfo=None).isoformat()).cast("timestamp_ntz"))
+
+
+@query("""SELECT account_id, d AS transaction_date, merchant_category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY account_id, d ORDER BY n DESC, merchant_category) AS r
+  FROM (SELECT account_id, CAST(transaction_date AS DATE) AS d, merchant_category, count(*) AS n FROM t GROUP BY 1, 2, 3)) WHERE r = 1""")
+def q29_top_category_with_ties(spark, sf_dir):
+    t = view(spark, sf_dir).withColumns({"transaction_type": F.lit("debit"), "amount": F.lit(1).cast(summary.MONEY)})  # sums are counts, which tie
+    return summary.daily_summary(t).select("account_id", "transaction_date", "top_category")

@@ -185,3 +185,132 @@ def test_upsert_rewrites_touched_buckets_only(spark, store):
 def test_command_line():
     args = cli.parser().parse_args(["incremental", "--lookback-days", "6"])
     assert args.lookback_hours == 6 and args.source_name == "transactions" and cli.parser().parse_args(["summary"]).output_table == "daily_account_summary"
+
+
+def test_rows_of_a_folder_follow_its_files_by_path(spark, tmp_path):
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    write_csv(folder / "a.csv", record(transaction_id="TXN-A"))
+    write_csv(folder / "b 1.csv", *(record(transaction_id=f"TXN-B{i}") for i in range(2000)))
+    write_csv(folder / "c.csv", record(transaction_id="TXN-C0"), record(transaction_id="TXN-C1"))
+    rows = files.read_file(spark, str(folder)).orderBy("batch_seq").select("transaction_id", "batch_seq").collect()
+    assert [r.transaction_id for r in rows] == ["TXN-A", *(f"TXN-B{i}" for i in range(2000)), "TXN-C0", "TXN-C1"]
+    assert len({r.batch_seq for r in rows}) == len(rows)
+
+
+def test_records_of_other_lengths(spark, tmp_path):
+    short = write_csv(tmp_path / "s.csv", GOOD, GOOD[:8])
+    got = files.read_file(spark, short).orderBy("batch_seq").collect()
+    assert [r.status for r in got] == ["completed", None] and got[1].merchant_category == "travel"
+    quoted = write_csv(tmp_path / "q.csv", record(merchant_name='"a, ""b"", c"'), record(merchant_name='"x,y"')[:9])
+    assert [r.merchant_name for r in files.read_file(spark, quoted).orderBy("batch_seq").collect()] == ['a, "b", c', "x,y"]
+    long = write_csv(tmp_path / "l.csv", GOOD, [*GOOD, "surplus"])
+    with pytest.raises(Exception, match="a record has more than 10 fields"):
+        files.read_file(spark, long).collect()
+
+
+def serve(pages):
+    """A REST source of JSON records as they are."""
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = int(parse_qs(urlparse(self.path).query)["offset"][0])
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(pages[at : at + 100]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server, f"http://127.0.0.1:{server.server_port}/t"
+
+
+def test_rest_records_are_checked_as_received(spark, store):
+    fine = dict(zip(schemas.FIELDS, GOOD)) | {"id": 1, "amount": 12.5}
+    records = [fine, {k: v for k, v in fine.items() if k != "status"} | {"transaction_id": "TXN-2"}, fine | {"transaction_id": "TXN-3", "note": "x"}, fine | {"transaction_id": 4},
+               fine | {"transaction_id": "TXN-5", "status": True}, fine | {"transaction_id": "TXN-6", "amount": "7.25", "currency": None}]
+    server, url = serve(records)
+    log = ingest.run_ingest(spark, store, ingest.Settings(source_type="rest", api_url=url, api_key="k"))
+    server.shutdown()
+    assert (log["valid_records"], log["quarantine_records"], log["status"]) == (1, 5, "success")
+    got = {r.transaction_id: r.error_reason for r in store.read("quarantine").collect()}
+    assert got["TXN-2"] == "record: 'status' is a required property"
+    assert got["TXN-3"] == "record: Additional properties are not allowed ('note' was unexpected)"
+    assert got["4"] == "transaction_id: 4 is not of type 'string'"
+    assert got["TXN-5"] == "status: True is not of type 'string'; status: True is not one of ['completed', 'pending', 'failed', 'reversed']"
+    assert got["TXN-6"].startswith("currency: None is not of type 'string'; currency: None is not one of")
+
+
+def test_failed_runs_are_logged(spark, store, tmp_path):
+    path = write_csv(tmp_path / "l.csv", GOOD, [*GOOD, "surplus"])
+    with pytest.raises(Exception, match="more than 10 fields"):
+        ingest.run_ingest(spark, store, ingest.Settings(source_file=path))
+    row = store.read("ingestion_run_log").first()
+    assert row.status == "failed" and row.input_records is None and store.read("transactions").count() == 0 and store.read("ingestion_watermark").count() == 0
+
+
+def test_marks_advance_by_their_options(spark, tmp_path):
+    path = write_csv(tmp_path / "t.csv", record(transaction_date="2024-01-05T10:00:00Z"), record(transaction_id="TXN-2", transaction_date="2024-02-05T10:00:00Z", status="lost"))
+    older = write_csv(tmp_path / "o.csv", record(transaction_id="TXN-3", transaction_date="2024-01-02T10:00:00Z"))
+    for options, days in (({}, ["02-05", "01-02"]), ({"advance_from": "valid"}, ["01-05", "01-02"]), ({"monotonic_mark": True}, ["02-05", "02-05"])):
+        store = ParquetStore(spark, str(tmp_path / "-".join(["w", *days, *options])), buckets=2)
+        for source, day in zip((path, older), days):
+            ingest.run_ingest(spark, store, ingest.Settings(source_file=source, **options))
+            assert incremental.latest_mark(store.read("ingestion_watermark"), "transactions").strftime("%m-%d") == day
+    new, old = datetime(2024, 1, 2, tzinfo=timezone.utc), datetime(2024, 1, 3, tzinfo=timezone.utc)
+    assert incremental.advances(None, new, True) and incremental.advances(old, new) and not incremental.advances(old, new, True) and not incremental.advances(old, None)
+
+
+def test_summary_lands_in_its_own_dataset_and_can_follow_arrival(spark, tmp_path):
+    s = ingest.Settings(source_file=write_csv(tmp_path / "t.csv", record(transaction_date="2024-01-05T10:00:00Z")), summary_by="ingestion_timestamp")
+    store, gold = cli.stores(spark, s, str(tmp_path / "w"), None)
+    ingest.run_ingest(spark, store, s)
+    assert ingest.run_summary(spark, store, s, out=gold)["mode"] == "full refresh"
+    assert gold.exists("daily_account_summary") and not store.exists("daily_account_summary") and (tmp_path / "w" / "gold").is_dir()
+    late = ingest.Settings(source_file=write_csv(tmp_path / "late.csv", record(transaction_id="TXN-9", transaction_date="2024-01-01T10:00:00Z")))
+    ingest.run_ingest(spark, store, late)
+    assert ingest.run_summary(spark, store, s, out=gold)["rows_computed"] == 1
+    assert sorted(str(r.transaction_date) for r in gold.read("daily_account_summary").collect()) == ["2024-01-01", "2024-01-05"]
+    with pytest.raises(ValueError, match="needs a start value"):
+        summary.changed_summary(store.read("transactions"), None)
+    with pytest.raises(SystemExit):
+        cli.main(["summary", "--sql-template", "x.sql"])
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=12, unique=True), min_size=1, max_size=6))
+def test_upserts_equal_a_dictionary(spark, tmp_path_factory, batches):
+    import ledgerloom.store as module
+
+    store, want = ParquetStore(spark, str(tmp_path_factory.mktemp("w")), buckets=2), {}
+    most, module.MOST_CHANGES = module.MOST_CHANGES, 2
+    try:
+        for n, ids in enumerate(batches):
+            store.upsert("t", spark.createDataFrame([(f"{i}", n) for i in ids] + [(None, n)], "k string, v int").coalesce(1), ["k"])
+            want |= {f"{i}": n for i in ids}
+        got = [(r.k, r.v) for r in store.read("t").collect()]
+        assert {k: v for k, v in got if k is not None} == want and sorted(v for k, v in got if k is None) == list(range(len(batches))) and len(got) == len(want) + len(batches)
+        assert all(len(of) <= 3 for of in store._manifest("t")["files"].values())
+    finally:
+        module.MOST_CHANGES = most
+
+
+def test_buckets_double_as_a_table_grows_and_old_files_go(spark, tmp_path, monkeypatch):
+    import ledgerloom.store as module
+
+    store = ParquetStore(spark, str(tmp_path / "w"), buckets=1)
+    rows = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) k", "id v")
+    store.upsert("t", rows(0, 50), ["k"])
+    monkeypatch.setattr(module, "BUCKET_BYTES", 1000)
+    store.upsert("t", rows(50, 100), ["k"])
+    assert store._manifest("t")["buckets"] > 1 and store.read("t").count() == 100
+    monkeypatch.setattr(module, "BUCKET_BYTES", 1 << 30)
+    reader = store.read("t")
+    store.upsert("t", rows(0, 1), ["k"])
+    assert reader.count() == 100 and store.read("t").count() == 100
+    live = {p for of in store._manifest("t")["files"].values() for p in of} | set(store._manifest("t")["retired"])
+    assert {str(p) for p in (tmp_path / "w" / "t").glob("data-*/__b=*")} == live
+    with pytest.raises(ValueError, match="rows are upserted"):
+        store.append("t", rows(0, 1))
