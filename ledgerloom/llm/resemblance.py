@@ -169,15 +169,26 @@ def _verify(similarity: float, hashes_of: Callable[[str], list[int]]):
     return run
 
 
+#: What is looked up by 64-bit keys is broadcast up to so many rows (16 to 24 bytes each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """rows, cut, and broadcast to a join if they are counted to be few."""
+    kept = cut(rows)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def similar_texts(nodes: DataFrame, similarity: float = 0.8, bucket_limit: int = 32_768, texts: DataFrame | None = None, hashes_of: Callable[[str], list[int]] | None = None) -> DataFrame:
     """(a, b): links that connect the nodes(node, bands, more, sketch) whose sets are `similarity` alike or more.
 
-    With texts(node, text) and hashes_of, which gives the hashes of a text, the sets themselves decide: sketches
-    only gather the families, MARGIN wider, in which they are compared. Without, likeness is read off the sketches,
-    with a standard deviation of 0.015 at 0.8. Only rows that share a bucket move with their sketch, only members of
-    families with their text. A bucket is searched in one task up to bucket_limit rows; a larger one is dealt out
+    With texts(node, text, sketch, more) and hashes_of, which gives the hashes of a text, the sets themselves decide: sketches
+    only gather the families, MARGIN wider, in which they are compared (and nodes need no more). Without, likeness is
+    read off the sketches, with a standard deviation of 0.015 at 0.8. Only rows that share a bucket move with their
+    sketch, of buckets with equal members those of one, and only members of families with their text (all do where
+    members are over BROADCAST_ROWS). A bucket is searched in one task up to bucket_limit rows; a larger one is dealt out
     again by the rows that its band does not use, level by level; at the last level, whose rows agree in ten least
-    hashes, a bucket is held whole, 264 bytes a row. Null sketches link nothing.
+    hashes, a bucket is held whole, 264 bytes a row. Null sketches link nothing; no nodes give no links.
     """
     with_key = nodes.where("sketch is not null")
     level = with_key.select("node", F.explode("bands").alias("bucket"))
@@ -185,18 +196,22 @@ def similar_texts(nodes: DataFrame, similarity: float = 0.8, bucket_limit: int =
     links = None
     for depth in range(4):
         level = cut(level) if depth else level
-        sizes = cut(level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        who = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in range(2)]  # names a bucket's members
+        sizes = cut(level.groupBy("bucket").agg(F.count("*").alias("n"), *who).where("n > 1"))
         small = sizes if depth == 3 else sizes.where(F.col("n") <= bucket_limit)
-        rows = level.join(small.select("bucket"), "bucket").join(with_key.select("node", "sketch"), "node").select("bucket", "node", "sketch")
+        # Near copies share many bands, whose buckets have the same members: one of them is enough.
+        one = _looked_up(small.groupBy("n", "who0", "who1").agg(F.min("bucket").alias("bucket")).select("bucket"))
+        pairs = _looked_up(level.join(one, "bucket").select("bucket", "node"))
+        rows = with_key.select("node", "sketch").join(pairs, "node").select("bucket", "node", "sketch")
         here = cut(rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(search, "a long, b long").distinct())
         links = here if links is None else links.union(here)
         large = sizes.where(F.col("n") > bucket_limit)
         if depth == 3 or large.isEmpty():
             break
-        wide = level.join(large.select("bucket"), "bucket").join(with_key.select("node", "more"), "node")
+        wide = level.join(large.select("bucket"), "bucket").join((with_key if texts is None else texts).select("node", "more"), "node")
         level = wide.select("node", F.explode(F.transform("more", lambda k: F.xxhash64("bucket", k))).alias("bucket")).distinct()
     if texts is None:
         return links
-    members = links.toDF("family", "node").distinct().join(with_key.select("node", "sketch"), "node").join(texts, "node")
-    spread = members.select("family", "node", "sketch", "text").repartition("family").sortWithinPartitions("family", "node")
+    members = _looked_up(links.toDF("family", "node").distinct())
+    spread = texts.join(members, "node").select("family", "node", "sketch", "text").repartition("family").sortWithinPartitions("family", "node")
     return cut(spread.mapInArrow(_verify(similarity, hashes_of), "a long, b long").distinct())

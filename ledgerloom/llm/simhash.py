@@ -301,10 +301,11 @@ def _components(prints: DataFrame, fps: DataFrame, width: int, distance: int, si
     prints(row, __text, fp, s) are needed with `similarity` alone.
     """
     links = similar_links(fps.select("fp"), distance)
-    if similarity is not None:  # equal fingerprints don't make equal sets: one node for each set, whose links are then its fingerprint's
-        sets = prints.where("s is not null").groupBy("fp", "s.digest").agg(F.min(F.struct("s", "row")).alias("one"))
-        nodes = cut(sets.select("fp", "one.row", "one.s.*").withColumn("node", F.monotonically_increasing_id()))
-        texts = nodes.select("node", "row").join(prints.select("row", F.col("__text").alias("text")), "row").select("node", "text")
+    if similarity is not None:  # equal fingerprints don't make equal sets: one node for each set, named by its least row, whose links are then its fingerprint's
+        sketched = prints.where("s is not null")
+        sets = sketched.groupBy("fp", "s.digest").agg(F.min(F.struct(F.col("row").alias("node"), "s.bands", "s.sketch")).alias("one"))
+        nodes = cut(sets.select("fp", "one.*"))
+        texts = sketched.select(F.col("row").alias("node"), F.col("__text").alias("text"), "s.sketch", "s.more")
         found = resemblance.similar_texts(nodes, similarity, texts=texts, hashes_of=lambda x: shingle_hashes(x, width))
         for end in ("a", "b"):
             found = found.join(nodes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")), end)
