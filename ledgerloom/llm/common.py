@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +37,49 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The folders of the cuts made inside, for release()."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: its lineage ends there, losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _scopes:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a cut() that no later plan reads."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
         if "/cut-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession, made: list[str], *kept: DataFrame) -> None:
+    """Remove the cuts of a scope but those that `kept` read: what a result needs that is yet to be computed."""
+    needed = {file.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in kept for file in df.inputFiles()}
+    for folder in made:
+        if folder.rsplit("/", 1)[-1] not in needed:
+            _delete(spark, folder)
 
 
 def batches(schema: pa.Schema, rows: Iterable[tuple], size: int = 8192) -> Iterator[pa.RecordBatch]:

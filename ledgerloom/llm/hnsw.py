@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, release, scope
 from .vectors import LEAST_SHARD, build_shards, nearest, pack_arrays, stream_queries, valid
 
 DEGREE, BEAM_BUILD, BEAM_SEARCH, OPENED, BATCH = 32, 128, 192, 4, 256
@@ -188,10 +188,11 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, id_: str = "vec
     than the query's are no candidates. Of rows that repeat an id, one counts; equal vectors under several ids are one
     node and all of its ids are results. Empty tables give no rows.
     """
-    vectors = cut(valid(rows, id_, vector, zero=False))
-    nothing = [F.lit(0).alias("home"), F.lit(None).cast("double").alias("least")]
-    asked = cut(valid(queries, id_, vector, zero=False).select("vec_id", "v", "dim", *nothing))
-    index, shards, size = build_shards(vectors, build, shard_rows)
-    drop_cut(vectors)
+    with scope() as made:
+        vectors = cut(valid(rows, id_, vector, zero=False))
+        nothing = [F.lit(0).alias("home"), F.lit(None).cast("double").alias("least")]
+        asked = cut(valid(queries, id_, vector, zero=False).select("vec_id", "v", "dim", *nothing))
+        index, shards, size = build_shards(vectors, build, shard_rows)
+    release(rows.sparkSession, made, index, asked)
     width, copies = beam or beam_for(size), max(1, -(-asked.count() // 20_000))
     return nearest(stream_queries(index, asked, lambda index, ids, qs, _: search(index, ids, qs, k, width), copies, None, shards), k)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, release, scope
 from .vectors import build_shards, nearest, pack_arrays, stream_queries, valid
 
 LEAF = 64
@@ -102,15 +102,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id",
     shard_rows vectors (by default shard_size). Each query first searches one shard; its k-th best there goes with
     it to the others, which skip every box that can't reach it. Empty tables give no rows.
     """
-    vectors = cut(valid(rows, id_, vector, zero=True))
-    index, shards, _ = build_shards(vectors, build, shard_rows)
+    with scope() as made:
+        index, shards, _ = build_shards(cut(valid(rows, id_, vector, zero=True)), build, shard_rows)
+    release(rows.sparkSession, made, index)
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     asked = cut(valid(queries, id_, vector, zero=True).select("vec_id", "v", "dim", home.alias("home"), F.lit(None).cast("double").alias("least")))
     copies = max(1, -(-asked.count() // 20_000))
     find = lambda tree, ids, qs, least: search(tree, ids, qs, least, k)
     at_home = cut(stream_queries(index, asked, find, copies, True, shards, SCORE))
-    drop_cut(vectors)
     if shards == 1:
+        drop_cut(index)
+        drop_cut(asked)
         return nearest(at_home, k)
     reached = at_home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s")).where(F.col("n") == k)
     reached = reached.select(F.col("query_id").alias("vec_id"), (F.col("s") - F.abs("s") * 2.0**-52).alias("least"))  # never above the exact score

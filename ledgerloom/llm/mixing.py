@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, release, scope
 
 WORDS = r"[^\x20\x09-\x0D]+"
 MOST = 3  # times its size that a document or source may come to
@@ -181,11 +181,13 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 def balance(kinds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kinds' rows with places; sources with words, target and multiplier; limits) for kinds(source, size, key, m): m rows that are equal."""
-    sizes = cut(kinds.groupBy("source", "size").agg(F.sum("m").alias("n")))
-    sources = cut(multipliers(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))), sizes))
-    drop_cut(sizes)
-    rows = _placed(_each(kinds, F.col("m")), sources, _chance(F.col("key"), F.col("j"), F.col("m")))
-    return rows, sources, cut(thresholds(rows))
+    with scope() as made:
+        sizes = cut(kinds.groupBy("source", "size").agg(F.sum("m").alias("n")))
+        sources = cut(multipliers(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))), sizes))
+        rows = _placed(_each(kinds, F.col("m")), sources, _chance(F.col("key"), F.col("j"), F.col("m")))
+        limits = cut(thresholds(rows))
+    release(kinds.sparkSession, made, sources, limits)
+    return rows, sources, limits
 
 
 def _placed(rows: DataFrame, sources: DataFrame, chance: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import resemblance
-from .common import cut, tune
+from .common import cut, release, scope, tune
 from .components import connected_components
 
 BITS = 64
@@ -329,13 +329,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", wi
     texts whose sets of shingles are that similar link, too; equal sets count once there. Rows with a null id stay; a
     component of such rows alone has a null name. Repeated rows stay repeated. Other columns are ignored.
     """
-    prints = _printed(docs, text, [F.col(id_).alias("__id")], width, similarity)
-    fps = cut(prints.groupBy("fp").agg(F.min("__id").alias("least")))
-    linked = _components(prints, fps, width, distance, similarity).join(fps, "fp")
-    names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    named = linked.join(names, "component").select("fp", "name")
-    alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("name"))
-    return prints.select("__id", "fp").join(cut(named.unionByName(alone)), "fp").select(F.col("__id").alias(id_), "fp", F.col("name").alias("component"))
+    with scope() as made:
+        prints = _printed(docs, text, [F.col(id_).alias("__id")], width, similarity)
+        fps = cut(prints.groupBy("fp").agg(F.min("__id").alias("least")))
+        linked = _components(prints, fps, width, distance, similarity).join(fps, "fp")
+        names = linked.groupBy("component").agg(F.min("least").alias("name"))
+        named = linked.join(names, "component").select("fp", "name")
+        alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("name"))
+        named = cut(named.unionByName(alone))
+    release(docs.sparkSession, made, prints, named)
+    return prints.select("__id", "fp").join(named, "fp").select(F.col("__id").alias(id_), "fp", F.col("name").alias("component"))
 
 
 def _row_key(docs: DataFrame, id_: str) -> tuple[Column, Column]:
@@ -354,16 +357,18 @@ def representatives(docs: DataFrame, text: str = "text", id_: str = "doc_id", wi
     group. An empty table gives no rows. Columns and their order are kept.
     """
     names = docs.columns
-    prints = _printed(docs, text, list(_row_key(docs, id_)), width, similarity)
-    rows = cut(prints.groupBy("fp", "__id", "__key").agg(F.count("*").alias("n")))
-    best = F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key")))
-    fps = cut(rows.groupBy("fp").agg(best.alias("best")))
-    linked = _components(prints, fps, width, distance, similarity).join(fps, "fp")
-    chosen = linked.groupBy("component").agg(F.min("best").alias("best"))
-    named = linked.select("fp", "component").join(chosen, "component").select("fp", "best")
-    alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", "best")
-    judged = rows.join(cut(named.unionByName(alone)), "fp").select("__id", "__key", "n", (F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__key") == F.col("best.key"))).alias("stays"))
-    judged = cut(judged)
+    with scope() as made:
+        prints = _printed(docs, text, list(_row_key(docs, id_)), width, similarity)
+        rows = cut(prints.groupBy("fp", "__id", "__key").agg(F.count("*").alias("n")))
+        best = F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key")))
+        fps = cut(rows.groupBy("fp").agg(best.alias("best")))
+        linked = _components(prints, fps, width, distance, similarity).join(fps, "fp")
+        chosen = linked.groupBy("component").agg(F.min("best").alias("best"))
+        named = linked.select("fp", "component").join(chosen, "component").select("fp", "best")
+        alone = fps.join(named.select("fp"), "fp", "left_anti").select("fp", "best")
+        stays = F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__key") == F.col("best.key"))
+        judged = cut(rows.join(cut(named.unionByName(alone)), "fp").select("__key", "n", stays.alias("stays")))
+    release(docs.sparkSession, made, judged)
     gone = judged.where("not stays").select(F.col("__key").alias("__gone")).distinct()
     keyed = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)), _row_key(docs, id_)[1])
     kept = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")

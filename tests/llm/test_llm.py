@@ -102,6 +102,38 @@ def test_toxicity_is_learnt_as_well_from_labels_with_copies(spark, copies, edits
     assert (got.toxicity[got.toxic == 1] >= 0.5).mean() >= 0.85 and (got.toxicity[got.toxic == 0] >= 0.5).mean() <= 0.02
 
 
+def test_scores_against_brute_force(spark):
+    """Token scores, segments by their definition and the probability, worked out naively for every short text of a table."""
+    import math
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit_on_labels(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.words and model.stems and model.logit[1] > 0
+    insults = sorted(model.words)[:3]
+    more = spark.createDataFrame([(-i, f"quite {w} words {w} and {insults[0]}xyz {w}") for i, w in enumerate(insults, 1)], "doc_id long, text string")
+    short = docs.where(F.length("text") < 500).unionByName(more)
+
+    def slow(text):
+        seen, scores = Counter(), []
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            stems = [model.stems[w[:n]] for n in (7, 6, 5, 4, 3) if w[:n] in model.stems]
+            raw = model.words.get(w, stems[0] if stems else 0.0)
+            scores.append(raw * (0.5 ** seen[w] if raw > model.drift else 1) - model.drift)
+            seen[w] += raw > model.drift
+        gain = [model.decay * sum(scores[a:b]) - math.log(model.scale * len(scores)) for a, b in slow_segments(scores)] if len(scores) < 60 else None
+        return gain and (1 / (1 + math.exp(-(model.logit[0] + model.logit[1] * min(200, sum(max(0, g) for g in gain))))), sum(g > 0 for g in gain))
+
+    rows, tried = toxicity.score(short, model).collect(), 0
+    for r in rows:
+        want = slow(r.text)
+        if want:
+            tried += 1
+            assert r.toxicity == pytest.approx(want[0], abs=1e-9) and len(r.toxic_passages) == want[1]
+    assert tried >= 3 and len(rows) == short.count()
+
+
 def test_logistic_curve_ends_at_its_optimum():
     rng = np.random.default_rng(12)
     for _ in range(300):
@@ -713,10 +745,19 @@ def test_sharding_query(spark, docs):
     assert (got["size"] == [len(text[i].encode()) + 16 for i in got.doc_id]).all() and (got.text_crc32 == [zlib.crc32(text[i].encode()) for i in got.doc_id]).all()
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    key = {i: xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in got.doc_id}
+    assert [slow_jump(key[i], 40) for i in got.doc_id] == got["shard"].tolist() and [slow_jump(key[i], 41) for i in got.doc_id] == got.grown_shard.tolist()
     moved = got[got["shard"] != got.grown_shard]
     assert (moved.grown_shard == 40).all() and len(moved) < 0.1 * len(got)
 
 
+def test_equal_rows_get_slots_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    rows = [(1, "a")] * 50 + [(2, "b")] * 7 + [(None, None)] * 15 + [(i, "c") for i in range(40)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).toPandas()
+    assert len(got) == len(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
 def test_sharding_of_odd_tables(spark, odd):
     got = sharding.shard(odd, 3).toPandas()
     assert len(got) == odd.count() and sharding.shard(odd.limit(0)).count() == 0
@@ -779,9 +820,47 @@ def test_events_fold_into_final_messages(spark):
     assert [p.formatted[s.start : s.end] for p in parts for s in p.loss] == ["good day"] and chat.digests(chat.format_conversations(chat.fold(events.limit(0)))).count() == 0
 
 
+def test_cuts_that_nothing_needs_are_removed(spark, docs, tmp_path):
+    from ledgerloom.llm import common
+
+    left = lambda: set(p.name for p in __import__("pathlib").Path(common.shared_folder(spark)).glob("cut-*"))
+    frame, before = spark.read.parquet(f"{SF}/documents.parquet"), left()
+    assert simhash.representatives(frame).count() and len(left() - before) == 1  # who stays
+    before = left()
+    assert mixing.resample(frame).count() and len(left() - before) == 3  # equal rows, sources and limits
+    before = left()
+    toxicity.fit_on_labels(frame, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert left() == before
+
+
 # ---- the pipeline
 
 
+def test_links_of_nothing(spark):
+    none = spark.createDataFrame([], "node long, bands array<long>, more array<long>, sketch binary")
+    nulls = spark.createDataFrame([(1, None, None, None), (2, None, None, None)], none.schema)
+    assert resemblance.similar_texts(none).count() == resemblance.similar_texts(nulls).count() == 0
+    assert simhash.similar_links(spark.createDataFrame([], "fp long")).count() == 0 and simhash.similar_links(spark.createDataFrame([(0,)], "fp long")).count() == 0
+
+
+def test_pipeline_stages_of_odd_tables(spark, odd, tmp_path):
+    """Null columns, repeated rows and ids, empty and very long texts and columns that stages make themselves; and tables without rows."""
+    columns = odd.columns
+    labels = spark.createDataFrame([(i, 0) for i in range(5)] + [(None, 1)], "doc_id long, toxic int")
+    for rows, left in ((odd, 9), (odd.limit(0), 0)):
+        sf = sf_dir(tmp_path / str(left), labels=labels if left else labels.limit(0), documents=rows)
+        frame = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame = spark.createDataFrame(stage(spark, frame, sf).collect(), odd.schema)
+            assert frame.columns == columns
+            if name == "toxicity":
+                assert frame.count() == rows.count()  # nothing there is toxic
+            if name == "simhash":  # one for each text: nothing, a, the long one, some words and one of its own
+                assert sorted(r.doc_id for r in frame.collect()) == ([1, 3, 4, 6, 8] if left else [])
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, sf)
+        assert packed.where("start = 0").count() == frame.count() and corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
 def test_pipeline_against_its_stages(spark, docs):
     frame, steps = spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
