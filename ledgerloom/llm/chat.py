@@ -118,19 +118,25 @@ def format_conversations(messages: DataFrame, part_chars: int = PART_CHARS) -> D
     """(conv_id, part, formatted, loss) of messages(conv_id, seq, role, text): whole turns in order of seq.
 
     A part has at most part_chars code points, or one turn; the parts of a conversation, joined in order, are its
-    formatted text. loss: spans of the part that hold assistant texts. Ties of seq go by role and text; null seq comes
-    first; null conv_id is one conversation. A task streams over its conversations and holds one part at a time. An
-    empty table gives no rows.
+    formatted text. loss: spans of the part that hold assistant texts. Ties of seq go by role and the turn as written; null seq comes
+    first; null conv_id is one conversation. Turns are escaped and written where they are, before they are dealt out; a task then
+    streams over its conversations and holds one part at a time. An empty table gives no rows.
     """
     tune(messages.sparkSession)
-    spread = messages.select("conv_id", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text")
+    written = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("turn", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
+    def turns_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            conv, seq, roles, texts = part.columns
+            done = [render(r or "", t or "") for r, t in zip(roles.to_pylist(), texts.to_pylist())]
+            columns = [conv, seq, roles.fill_null(""), *(pa.array([x[i] for x in done], written.types[3 + i]) for i in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, schema=written)
+
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         at, number, turns, spans, size = None, 0, [], [], 0
         for part in parts:
-            for conv, role, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                turn, a, b = render(role, text)
+            for conv, role, turn, a, b in zip(*(part.column(c).to_pylist() for c in ("conv_id", "role", "turn", "a", "b"))):
                 if turns and (conv != at or size + len(turn) > part_chars):
                     yield at, number, "".join(turns), spans
                     turns, spans, size, number = [], [], 0, number + 1
@@ -143,6 +149,8 @@ def format_conversations(messages: DataFrame, part_chars: int = PART_CHARS) -> D
         if turns:
             yield at, number, "".join(turns), spans
 
+    rendered = messages.select("conv_id", "seq", "role", "text").mapInArrow(turns_of, "conv_id long, seq long, role string, turn string, a long, b long")
+    spread = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "turn")
     return spread.mapInArrow(lambda parts: batches(schema, rows(parts), 64), PARTS)
 
 

@@ -16,13 +16,12 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings into a Python worker."""
+    """Bound what one Arrow batch brings into a Python worker, in the session: operators that hand rows to Python call it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    tune(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
