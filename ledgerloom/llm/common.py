@@ -69,7 +69,7 @@ def drop_cut(df: DataFrame) -> None:
     """Remove the files of a cut() that no later plan reads."""
     for file in df.inputFiles()[:1]:
         folder = file.rsplit("/", 1)[0]
-        if "/cut-" in folder:
+        if re.fullmatch(r"cut-[0-9a-f]{32}", folder.rsplit("/", 1)[-1]):
             _delete(df.sparkSession, folder)
 
 
