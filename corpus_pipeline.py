@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, packing, simhash, toxicity
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, drop_cut, release, scope, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +36,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage but the last is written and read again."""
+    """The rows of the last stage over documents; each stage but the last is written and read again, and what came before it is removed then."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    *before, (_, last) = STAGES
+    for _, stage in before:
+        with scope() as made:
+            then = cut(stage(spark, docs, sf_dir))
+        release(spark, made, then)
+        drop_cut(docs)
+        docs = then
+    return last(spark, docs, sf_dir)
