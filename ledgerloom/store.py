@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ class ParquetStore:
     Rows lie in hash buckets of the key. An upsert writes its rows alone, as a change on each bucket that it touches;
     a reader puts the latest change over what lies below, so a load costs what it brings, not what is stored. A bucket
     with more than MOST_CHANGES is merged by the upsert that finds it so. The number of buckets doubles as a table grows past
-    BUCKET_BYTES a bucket. A reader sees the manifest before or after a commit, never a mixture; files that a commit
+    BUCKET_BYTES a bucket. A table whose first layout column belongs to its key is partitioned by that column instead: a
+    load touches the values that it brings, and read() can be given those it is to open. A reader sees the manifest before or after a commit, never a mixture; files that a commit
     leaves out are removed by the commit after it. One writer at a time.
     """
 
@@ -56,14 +58,14 @@ class ParquetStore:
         finally:
             stream.close()
 
-    def _commit(self, table: str, schema: T.StructType, files: dict[str, list[str]], keys: list[str], buckets: int, old: dict | None, merged: dict[str, list[str]] | None = None) -> None:
+    def _commit(self, table: str, schema: T.StructType, files: dict[str, list[str]], keys: list[str], buckets: int, old: dict | None, merged: dict[str, list[str]] | None = None, partition: str | None = None) -> None:
         """Make files the table's: {bucket: paths, oldest first}. merged: those that this commit has merged into them."""
         now = {p for of in files.values() for p in of}
         retired = sorted({p for held in ((old or {}).get("files", {}), merged or {}) for of in held.values() for p in of} - now)
         fs, path = self._fs(f"{self.root}/{table}/_manifest.json")
         _, draft = self._fs(f"{self.root}/{table}/_manifest-{uuid.uuid4().hex}")
         stream = fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "files": files, "keys": keys, "buckets": buckets, "retired": retired}).encode()))
+        stream.write(bytearray(json.dumps({"schema": schema.jsonValue(), "files": files, "keys": keys, "buckets": buckets, "partition": partition, "retired": retired}).encode()))
         stream.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else self.spark._jvm.java.net.URI("file:///"), self.spark._jsc.hadoopConfiguration())
@@ -76,11 +78,14 @@ class ParquetStore:
     def exists(self, table: str) -> bool:
         return self._manifest(table) is not None
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, only: list[str] | None = None) -> DataFrame:
+        """The table's rows; only: of a partitioned table, the values of its partition column to read, as texts."""
         held = self._manifest(table)
         if held is None:
             raise LookupError(f"no table {table!r}")
-        return self._read(held, held["files"])
+        if only is not None and not held.get("partition"):
+            raise ValueError(f"{table} is not partitioned")
+        return self._read(held, held["files"] if only is None else {b: of for b, of in held["files"].items() if b in only})
 
     def _read(self, held: dict, files: dict[str, list[str]]) -> DataFrame:
         schema, keys = T.StructType.fromJson(held["schema"]), held["keys"]
@@ -104,18 +109,17 @@ class ParquetStore:
         if not self.exists(table):
             self._commit(table, schema, {}, list(keys), self.buckets, None)
 
-    def _bucket(self, keys: list[str], buckets: int):
-        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
-
-    def _write(self, table: str, df: DataFrame, keys: list[str], sort: list[str], buckets: int, split: int = 8) -> dict[str, list[str]]:
+    def _write(self, table: str, df: DataFrame, keys: list[str], sort: list[str], buckets: int, partition: str | None = None, split: int = 8) -> dict[str, list[str]]:
         """Bucket folders that df has been written to. Files are sorted by the layout columns, so their statistics prune."""
         path = f"{self.root}/{table}/data-{time.time_ns():020d}-{uuid.uuid4().hex}"
-        out = df.withColumn("__b", self._bucket(keys, buckets))
-        out = out.repartition("__b", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(split))) if keys else out
+        by_key = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
+        out = df.withColumn("__b", F.coalesce(F.col(partition).cast("string"), F.lit("none")) if partition else by_key)
+        spread = F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(split)) if keys else None
+        out = out.repartition("__b", spread) if keys else out
         out.sortWithinPartitions("__b", *sort).write.partitionBy("__b").parquet(path)
         fs, p = self._fs(path)
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return {n.removeprefix("__b="): [f"{path}/{n}"] for n in names if n.startswith("__b=")}
+        return {unquote(n.removeprefix("__b=")): [f"{path}/{n}"] for n in names if n.startswith("__b=")}
 
     def _bytes(self, files: dict[str, list[str]]) -> int:
         total = 0
@@ -126,8 +130,9 @@ class ParquetStore:
 
     def replace(self, table: str, df: DataFrame, keys: list[str] = (), sort: list[str] = ()) -> None:
         old = self._manifest(table)
-        buckets = (old or {}).get("buckets", self.buckets)
-        self._commit(table, df.schema, self._write(table, df, list(keys), list(sort), buckets), list(keys), buckets, old)
+        buckets, partition = (old or {}).get("buckets", self.buckets), next((c for c in sort[:1] if c in keys), None)
+        files = self._write(table, df, list(keys), list(sort), buckets, partition, split=1 if partition else 8)
+        self._commit(table, df.schema, files, list(keys), buckets, old, partition=partition)
 
     def append(self, table: str, df: DataFrame) -> None:
         """Add rows to a table without keys."""
@@ -146,18 +151,19 @@ class ParquetStore:
             return self.replace(table, source, keys, sort)
         if held["keys"] != keys:
             raise ValueError(f"{table} is bucketed by {held['keys']}")
-        schema, buckets = T.StructType.fromJson(held["schema"]), held.get("buckets", self.buckets)
+        schema, buckets, partition = T.StructType.fromJson(held["schema"]), held.get("buckets", self.buckets), held.get("partition")
         files = dict(held["files"])
-        for b, paths in self._write(table, source.select(*schema.names), keys, list(sort), buckets, split=1).items():
+        write = lambda df, split: self._write(table, df.select(*schema.names), keys, list(sort), buckets, partition, split)
+        for b, paths in write(source, 1).items():
             files[b] = files.get(b, []) + paths
-        size, written = self._bytes(files), dict(files)
+        size, written = 0 if partition else self._bytes(files), dict(files)
         if size > 2 * buckets * BUCKET_BYTES:
             while size > buckets * BUCKET_BYTES:
                 buckets *= 2
-            files = self._write(table, self._read(held, files), keys, list(sort), buckets)
+            files = write(self._read(held, files), 8)
         elif full := {b: of for b, of in files.items() if len(of) > MOST_CHANGES + 1}:
-            files |= self._write(table, self._read(held, full), keys, list(sort), buckets)
-        self._commit(table, schema, files, keys, buckets, held, written)
+            files |= write(self._read(held, full), 1 if partition else 8)
+        self._commit(table, schema, files, keys, buckets, held, written, partition)
 
 
 class CatalogStore:

@@ -314,3 +314,20 @@ def test_buckets_double_as_a_table_grows_and_old_files_go(spark, tmp_path, monke
     assert {str(p) for p in (tmp_path / "w" / "t").glob("data-*/__b=*")} == live
     with pytest.raises(ValueError, match="rows are upserted"):
         store.append("t", rows(0, 1))
+
+
+def test_summaries_are_partitioned_by_day(spark, store):
+    rows = lambda *days: spark.createDataFrame([(f"a{i}", datetime(2024, 1, d).date(), v) for d, v in days for i in range(3)], "account_id string, transaction_date date, v int")
+    layout = (["account_id", "transaction_date"], ["transaction_date"])
+    store.replace("s", rows((1, 1), (2, 1), (3, 1)), *layout)
+    before = store._manifest("s")["files"]
+    assert sorted(before) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    store.upsert("s", rows((2, 2), (4, 2)), *layout)
+    after = store._manifest("s")["files"]
+    assert [d for d in after if after[d] != before.get(d)] == ["2024-01-02", "2024-01-04"]
+    day = store.read("s", ["2024-01-02"])
+    assert {(r.account_id, r.v) for r in day.collect()} == {("a0", 2), ("a1", 2), ("a2", 2)} and all("2024-01-02" in f for f in day.inputFiles())
+    assert store.read("s").count() == 12 and store.read("s", ["1999-01-01"]).count() == 0
+    store.upsert("u", rows((1, 1)), ["account_id"], ["transaction_date"])
+    with pytest.raises(ValueError, match="not partitioned"):
+        store.read("u", ["2024-01-01"])
