@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, tune
 
-CHUNK = 1 << 16
+CHUNK, PART_ROWS = 1 << 16, 250_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -44,19 +44,21 @@ def with_shards(rows: DataFrame, key: str, shards: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType())]))
 
 
-def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_: str = "doc_id", parts: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, text: str = "text", id_: str = "doc_id", parts: int | None = None) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row of docs; law is 'key'.
 
     id and the number of shards decide; rows of equal id (null ids too) share a shard. size: UTF-8 bytes and 16; a
     null text has none, and a null checksum counts as that of an empty text. Slots run from 0 in each shard. They are
-    given in each of `parts` hash parts of a shard, behind the sums of the parts before, so no task holds a whole
-    shard; equal rows are counted before they are shuffled. Texts are not shuffled.
+    given in each of `parts` hash parts of a shard (64, and more where these would have over PART_ROWS rows), behind the sums of the
+    parts before, so no task holds a whole shard; equal rows are counted before they are shuffled. Texts are not shuffled.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     narrow = docs.select(F.col(id_).alias("id"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     equal = narrow.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n"))
     keyed = equal.withColumn("key", F.xxhash64("id"))
-    dealt = cut(with_shards(keyed, "key", shards).withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(parts)).cast("int")))
+    sharded = cut(with_shards(keyed, "key", shards))
+    parts = parts or max(64, sharded.count() // (shards * PART_ROWS))
+    dealt = sharded.withColumn("part", F.pmod(F.xxhash64("key", "text_crc32", "size"), F.lit(parts)).cast("int"))
     sums = dealt.groupBy("shard", "part").agg(F.sum("n").alias("rows"))  # shards x parts rows
     before = sums.select("shard", "part", (F.sum("rows").over(Window.partitionBy("shard").orderBy("part")) - F.col("rows")).alias("base"))
     order = Window.partitionBy("shard", "part").orderBy("id", "size", "text_crc32")
