@@ -76,30 +76,36 @@ def _property(name: str, rules: dict, received: bool) -> Iterable[Column]:
         yield F.when(other.isNotNull(), F.concat(F.lit(f"{name}: "), other, F.lit(f" is not one of {rules['enum']!r}")))
 
 
+def _messages(columns: list[str], codes: list[str], contract: dict) -> tuple[list[Column], Column, list[Column]]:
+    """(texts for missing fields, an array of texts for extra ones, texts for values); texts are null where there is nothing to say."""
+    received, names = all(c in columns for c in AS_RECEIVED), [c for c in columns if c not in AS_RECEIVED]
+    text = lambda n: F.lit(f"record: '{n}' is a required property")
+    required, known = contract.get("required", []), contract["properties"]
+    missing = [F.when(~F.array_contains("record_keys", n), text(n)) for n in required] if received else [text(n) for n in required if n not in names]
+    unknown = F.array().cast("array<string>")
+    if contract.get("additionalProperties") is False:
+        unknown = F.array_except("record_keys", F.array(*map(F.lit, known))) if received else F.array(*(F.lit(n) for n in names if n not in known)).cast("array<string>")
+    extra = F.transform(unknown, lambda n: F.concat(F.lit("record: Additional properties are not allowed ('"), n, F.lit("' was unexpected)")))
+    values = [c for name, rules in known.items() if name in names for c in _property(name, rules, received)]
+    date, country = F.col("transaction_date"), F.col("country_code")
+    values.append(F.when((date != "") & date.try_cast("timestamp").isNull(), F.concat(F.lit("transaction_date: invalid calendar datetime "), date)))
+    values.append(F.when((country != "") & ~country.isin(codes), F.concat(F.lit("country_code: invalid assigned ISO code "), country)))
+    return missing, extra, values
+
+
+def error_text(columns: list[str], codes: list[str], contract: dict = CONTRACT) -> Column:
+    """The messages of errors() in one text, or null; their checks run in compiled code."""
+    missing, extra, values = _messages(columns, codes, contract)
+    return F.nullif(F.concat_ws("; ", *missing, extra, *values), F.lit(""))
+
+
 def errors(columns: list[str], codes: list[str], contract: dict = CONTRACT) -> Column:
     """All messages of a record, in order: missing and extra fields, each field's keywords, the calendar, the country.
 
     Fields are those of the data set, `columns`; where the AS_RECEIVED columns are among these, those of each record.
     """
-    received, names = all(c in columns for c in AS_RECEIVED), [c for c in columns if c not in AS_RECEIVED]
-    missing = lambda n: f"record: '{n}' is a required property"
-    closed = contract.get("additionalProperties") is False
-    extra = lambda n: F.concat(F.lit("record: Additional properties are not allowed ('"), n, F.lit("' was unexpected)"))
-    if received:
-        parts = [F.when(~F.array_contains("record_keys", n), F.lit(missing(n))) for n in contract.get("required", [])]
-        out = F.array(*parts)
-        if closed:
-            unknown = F.array_except("record_keys", F.array(*map(F.lit, contract["properties"])))
-            out = F.concat(out, F.transform(unknown, extra))
-    else:
-        parts = [F.lit(missing(n)) for n in contract.get("required", []) if n not in names]
-        parts += [extra(F.lit(n)) for n in names if closed and n not in contract["properties"]]
-        out = F.array(*parts).cast("array<string>")
-    each = [c for name, rules in contract["properties"].items() if name in names for c in _property(name, rules, received)]
-    date, country = F.col("transaction_date"), F.col("country_code")
-    each.append(F.when((date != "") & date.try_cast("timestamp").isNull(), F.concat(F.lit("transaction_date: invalid calendar datetime "), date)))
-    each.append(F.when((country != "") & ~country.isin(codes), F.concat(F.lit("country_code: invalid assigned ISO code "), country)))
-    return F.filter(F.concat(out, F.array(*each)), lambda m: m.isNotNull())
+    missing, extra, values = _messages(columns, codes, contract)
+    return F.filter(F.concat(F.array(*missing).cast("array<string>"), extra, F.array(*values)), lambda m: m.isNotNull())
 
 
 def reason(messages: Column) -> Column:

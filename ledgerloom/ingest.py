@@ -45,7 +45,7 @@ def stage(raw: DataFrame, existing: DataFrame, run_ts: datetime, codes: list[str
     """raw (texts and batch_seq) normalised, validated, keyed and flagged; nothing is collected."""
     clean = normalize.with_normal_fields(raw)
     names = [c for c in raw.drop("id").columns if c != "batch_seq"]
-    checked = clean.withColumn("error_reason", contract.reason(contract.errors(names, codes, rules)))
+    checked = clean.withColumn("error_reason", contract.error_text(names, codes, rules))
     too_large = normalize.amount(F.col("amount")).isNull() & F.col("amount").try_cast("decimal(38,18)").isNotNull()
     checked = checked.withColumn("error_reason", F.when(too_large, F.concat_ws("; ", "error_reason", F.lit("amount: too large to store"))).otherwise(F.col("error_reason")))
     checked = checked.drop(*contract.AS_RECEIVED)

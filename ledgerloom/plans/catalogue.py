@@ -76,7 +76,7 @@ _REASON = f"""concat_ws('; ', CASE WHEN NOT regexp_matches(account_id, '^ACC-[0-
 
 def _checked(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     rows = raw(spark, sf_dir, *more)
-    return rows.withColumn("error_reason", contract.reason(contract.errors(list(CONTRACT["properties"]), contract.country_codes(spark))))
+    return rows.withColumn("error_reason", contract.error_text(list(CONTRACT["properties"]), contract.country_codes(spark)))
 
 
 @query(f"SELECT transaction_id, nullif({_REASON}, '') AS error_reason FROM t")
@@ -178,7 +178,7 @@ def q11_replay_guard(spark, sf_dir):
 def q12_upsert_result(spark, sf_dir):
     t = view(spark, sf_dir).select("transaction_id", "amount", "event_id")
     old, new = t.where("event_id % 2 = 0"), t.where("event_id % 3 = 0").withColumn("amount", (F.col("amount") + 1).cast("decimal(18,2)"))
-    store = ParquetStore(spark, scratch_root(spark))
+    store = ParquetStore(spark, scratch_root(spark), buckets=2)
     store.upsert("t", old, ["transaction_id"])
     store.upsert("t", new, ["transaction_id"])
     return store.read("t").select("transaction_id", F.col("amount").cast("decimal(19,2)").alias("amount"))
@@ -261,14 +261,14 @@ def q22_contract_keywords(spark, sf_dir):
         "account_id": at(0, "account_id", none), "merchant_name": at(4, "merchant_name", F.lit("")), "country_code": at(5, "country_code", F.lit("GBR")),
         "transaction_date": at(6, "transaction_date", F.lit("2024-02-31T10:00:00Z")), "transaction_type": at(7, "transaction_type", none),
         "amount": F.expr("CASE batch_seq % 8 WHEN 1 THEN 'abc' WHEN 2 THEN amount || '5' WHEN 3 THEN '-' || amount ELSE amount END")})
-    return t.select("transaction_id", contract.reason(contract.errors(list(CONTRACT["properties"]), contract.country_codes(spark))).alias("error_reason"))
+    return t.select("transaction_id", contract.error_text(list(CONTRACT["properties"]), contract.country_codes(spark)).alias("error_reason"))
 
 
 @query(f"""SELECT transaction_id, {_say("record: 'country_code' is a required property; record: Additional properties are not allowed ('note' was unexpected)")} AS error_reason FROM t""")
 def q23_missing_and_extra_fields(spark, sf_dir):
     t = raw(spark, sf_dir).withColumns({k: F.lit(v) for k, v in _FINE.items()}).drop("country_code").withColumn("note", F.lit("x"))
     names = [c for c in t.columns if c != "batch_seq"]
-    return normalize.with_normal_fields(t).select("transaction_id", contract.reason(contract.errors(names, contract.country_codes(spark))).alias("error_reason"))
+    return normalize.with_normal_fields(t).select("transaction_id", contract.error_text(names, contract.country_codes(spark)).alias("error_reason"))
 
 
 @query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN {_say("record: 'status' is a required property")}
@@ -283,7 +283,7 @@ def q24_records_as_received(spark, sf_dir):
         "record_keys": F.when(n == 0, F.array_remove(keys, "status")).when(n == 1, F.array_append(keys, "note")).otherwise(keys),
         "record_other": F.when(n == 2, F.create_map(F.lit("transaction_id"), F.col("batch_seq").cast("string"))).otherwise(none), "status": F.when(n != 0, F.col("status"))})
     names = [*CONTRACT["properties"], *contract.AS_RECEIVED]
-    return t.select(F.col("batch_seq").alias("event_id"), contract.reason(contract.errors(names, contract.country_codes(spark))).alias("error_reason"))
+    return t.select(F.col("batch_seq").alias("event_id"), contract.error_text(names, contract.country_codes(spark)).alias("error_reason"))
 
 
 def _stored(t: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _stored(t: DataFrame) -> DataFrame:
 @query(_summary_sql(_DONE))
 def q25_summary_refresh(spark, sf_dir):
     """A full summary of the rows up to a day, then a refresh after the others have come: changed groups are merged by account and day."""
-    store, gold, s = ParquetStore(spark, scratch_root(spark)), ParquetStore(spark, scratch_root(spark)), ingest.Settings()
+    store, gold, s = ParquetStore(spark, scratch_root(spark), buckets=2), ParquetStore(spark, scratch_root(spark), buckets=2), ingest.Settings()
     t = view(spark, sf_dir)
     before = F.col("transaction_date") <= F.expr("TIMESTAMP_NTZ '2024-01-20'")
     ingest.ensure_tables(store, s)
@@ -320,7 +320,7 @@ _LOADED = f"""SELECT *, nullif(concat_ws('; ', CASE WHEN NOT regexp_matches(acco
 
 def _load(spark: SparkSession, sf_dir: str) -> tuple[ParquetStore, ingest.Settings]:
     """The view taken in by two runs of the job: all rows, and later those of even ids again."""
-    store, s = ParquetStore(spark, scratch_root(spark)), ingest.Settings(source_name="events")
+    store, s = ParquetStore(spark, scratch_root(spark), buckets=2), ingest.Settings(source_name="events")
     rows = raw(spark, sf_dir).withColumn("merchant_category", F.lit("travel"))
     for i, part in enumerate((rows, rows.where("batch_seq % 2 = 0"))):
         ingest.run_ingest(spark, store, s, raw=part, run_ts=datetime(2024, 3, 1 + i, tzinfo=timezone.utc), run_id=f"run-{i}")
