@@ -83,7 +83,7 @@ def multipliers(sources: DataFrame, sizes: DataFrame, steps: int = 80, at_once:
     to the base weights of one, capped at MOST. The convex dual has one multiplier a source, whose
     rates are exp(multiplier * size). Its gradient and curvature are aggregates over the documents; a job makes
     at_once steps for all sources together, until sums and targets agree to 1e-9. A source without words, or of
-    which all is taken MOST times, needs no step. RuntimeError if `steps` steps don't end it.
+    which all is taken MOST times, needs no step. RuntimeError if `steps` steps leave over 1e-6.
     """
     trivial = F.when(F.col("target") >= MOST * F.col("words"), F.lit(log(MOST))).otherwise(F.lit(0.0))
     state = cut(sources.where("words > 0 and target > 0").select("source", "words", "target", trivial.alias("multiplier"), F.lit(STEEPEST).alias("low"), F.lit(log(MOST)).alias("high"), F.lit(1.0).alias("apart")))
@@ -94,9 +94,10 @@ def multipliers(sources: DataFrame, sizes: DataFrame, steps: int = 80, at_once:
         step = cut(step)
         drop_cut(state)
         state = step
-        if not (state.agg(F.max("apart")).first()[0] or 0) > 0:
+        apart = state.agg(F.max("apart")).first()[0] or 0.0
+        if apart == 0:
             break
-    else:
+    if apart > 1e-6:
         raise RuntimeError("entropy balancing didn't converge")
     solved = state.select(F.col("source").alias("__s"), "multiplier")
     return sources.join(solved, _same("source", "__s"), "left").drop("__s").withColumn("multiplier", F.coalesce("multiplier", F.lit(0.0)))
@@ -130,11 +131,6 @@ def size_class(size: Column) -> Column:
     return F.when(size > 0, 62 - F.floor(F.log2(size.cast("double"))).cast("int")).otherwise(F.lit(63))
 
 
-def _nearest(sums: np.ndarray, wish: float) -> int:
-    """The first place of a rising list that is nearest to wish."""
-    return int(np.abs(sums - wish).argmin())
-
-
 def _limits(group: pd.DataFrame) -> pd.DataFrame:
     """Of one source: for each size class, longest first, the bin below which copies are taken; what is missed passes on to the class of shorter ones.
 
@@ -205,10 +201,10 @@ def _copies(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def _content(docs: DataFrame) -> Column:
-    """A hash of a whole row but its maps: rows of equal id share copies only if they are equal."""
+    """128 bits of a whole row but its maps: rows share copies only if they are equal."""
     whole = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
     nulls = F.concat_ws("", *[F.isnull(c).cast("string") for c in whole])  # a null leaves the hash as it was
-    return F.xxhash64(nulls, *whole)
+    return F.struct(F.xxhash64(nulls, *whole).alias("a"), F.xxhash64(F.lit(1), nulls, *reversed(whole)).alias("b"))
 
 
 def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
