@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from .common import cut, drop_cut, tune
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (7, 6, 5, 4, 3)  # leading letters that a word shares with its kin
 STEM_MARK = "^"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 @dataclass
@@ -36,10 +37,11 @@ class Model:
 
 
 class _Scores(dict):
-    """word -> score; a word without its own takes that of its longest stem that has one. Keeps up to KEPT_WORDS."""
+    """word -> score; a word without its own takes that of its longest stem that has one. Keeps `kept` words beyond those with scores."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, kept: int = KEPT_WORDS):
         self.words, self.stems, self.drift = model.words, model.stems, model.drift
+        self.most = kept + len(model.words)
         self._begin()
 
     def _begin(self) -> None:
@@ -47,7 +49,7 @@ class _Scores(dict):
         self.update({w: s - self.drift for w, s in self.words.items()})
 
     def __missing__(self, word: str) -> float:
-        if len(self) > KEPT_WORDS:
+        if len(self) > self.most:
             self._begin()
         found = next((self.stems[word[:n]] for n in STEMS if word[:n] in self.stems), 0.0)
         self[word] = found - self.drift
@@ -210,18 +212,18 @@ def _key_counts(train: DataFrame, kin: dict) -> DataFrame:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            seen: dict[str, np.ndarray] = {}
+            index: dict[str, int] = {}
+            places, weights = array("q"), array("d")
             for toxic, text, least in zip(*(part.column(i).to_pylist() for i in range(3))):
                 at, weight = (0 if toxic > 0 else FOLDS) + _fold(least), _weight(least, shared.value)
                 words = set(WORD.findall((text or "").lower()))
-                for key in ("", *words, *{STEM_MARK + w[:n] for w in words for n in STEMS if len(w) >= n}):
-                    if key not in seen:
-                        seen[key] = np.zeros(2 * FOLDS)
-                    seen[key][at] += weight
-            if seen:
-                every = np.stack(list(seen.values()))
+                keys = ["", *words, *{STEM_MARK + w[:n] for w in words for n in STEMS if len(w) >= n}]
+                places.extend([2 * FOLDS * index.setdefault(k, len(index)) + at for k in keys])
+                weights.extend([weight] * len(keys))
+            if index:
+                every = np.bincount(np.frombuffer(places, np.int64), np.frombuffer(weights), 2 * FOLDS * len(index)).reshape(-1, 2 * FOLDS)
                 ends = pa.array(np.arange(0, FOLDS * len(every) + 1, FOLDS), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (every[:, :FOLDS], every[:, FOLDS:]))], names=["key", "t", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (every[:, :FOLDS], every[:, FOLDS:]))], names=["key", "t", "c"])
 
     found = train.mapInArrow(count, "key string, t array<double>, c array<double>")
     total = lambda x: F.array(*[F.sum(F.col(x)[k]) for k in range(FOLDS)]).alias(x)
@@ -272,7 +274,7 @@ def _calibrate(train: DataFrame, kin: dict, others: list[Model], model: Model) -
     def judged(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, float, list[float]]]:
         """(toxic, weight, token scores) of each document."""
         models, kin = shared.value
-        score = [_Scores(m) for m in models]
+        score = [_Scores(m, KEPT_WORDS // len(models)) for m in models]
         for part in parts:
             for toxic, text, least in zip(*(part.column(i).to_pylist() for i in range(3))):
                 yield toxic, _weight(least, kin), score[_fold(least)].of(WORD.findall((text or "").lower()))
